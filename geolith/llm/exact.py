@@ -13,6 +13,11 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")
 
 
+def content_hash(text: Column) -> Column:
+    """128 bits of a normalised text."""
+    return F.unhex(F.md5(text))
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -31,7 +36,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     t = F.coalesce(F.col("text"), F.lit(""))
     n = normalised(F.col("text"))
-    slim = docs.select("doc_id", F.unhex(F.md5(n)).alias("_h"), F.unhex(F.sha2(n, 256)).alias("_sha"), F.char_length(t).alias("_len"))
+    slim = docs.select("doc_id", content_hash(n).alias("_h"), F.unhex(F.sha2(n, 256)).alias("_sha"), F.char_length(t).alias("_len"))
     slim = written(slim, "hashes")
     pick = F.min(F.struct(-F.col("_len"), F.col("doc_id"))).alias("_best")
     groups = slim.groupBy("_h").agg(F.count("*").alias("_n"), pick).where("_n > 1")
@@ -41,7 +46,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     members = written(members, "members")
     texts = docs.select("doc_id", F.col("text")).join(members, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
     texts = texts.select("doc_id", normalised(F.col("text")).alias("_t"), F.char_length(t).alias("_len"))
-    texts = texts.withColumn("_h", F.unhex(F.md5("_t")))
+    texts = texts.withColumn("_h", content_hash(F.col("_t")))
     clash = texts.groupBy("_h").agg(F.min("_t").alias("_a"), F.max("_t").alias("_z")).where("_a <> _z").select(F.col("_h").alias("_c"))
     clash = written(clash, "collisions")
     if clash.isEmpty():

@@ -5,7 +5,8 @@ Each source is a queue of its documents in a seeded random order, served up to
 its source so far) / (weight of the source). All services are sorted globally by
 finish time and cut where the words reach the total budget. At the cut every
 queue that is not exhausted has had words in proportion to its weight, and what
-exhausted queues leave goes to the others by weight: the water level.
+exhausted queues leave goes to the others by weight: the water level. As whole
+documents are served, no service may end beyond its source's level.
 """
 
 from __future__ import annotations
@@ -82,7 +83,8 @@ def mix(
         last = events.where(F.col("_pid") == cut).withColumn("_c", F.sum("size").over(w) + sums[cut])
         idx = last.where(F.col("_c") <= budget).agg(F.max("_idx")).first()[0]
         taken = taken | ((F.col("_pid") == cut) & (F.col("_idx") <= (-1 if idx is None else idx)))
-    events = events.withColumn("_on", taken)
+    served = F.col("_pass") * F.col("source_size") + F.col("_cum")
+    events = events.withColumn("_on", taken & (served <= F.col("target") + 1e-6))
 
     for _ in range(refills):
         got = written(events.where("_on").groupBy("sid").agg(F.sum("size").alias("_got")).withColumnRenamed("sid", "_sid"), "got")
