@@ -105,6 +105,17 @@ def bands(sig: np.ndarray, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+def planes(sig: np.ndarray, bits: int) -> np.ndarray:
+    """The low ``bits`` bits of the coordinates as bit planes: for each 64 coordinates one word (signed 64 bits) per bit."""
+    n, k = sig.shape
+    low = mix(sig)
+    out = np.zeros((n, -(-k // 64) * bits), np.uint64)
+    for c in range(k):
+        for b in range(bits):
+            out[:, c // 64 * bits + b] |= (low[:, c] >> np.uint64(b) & np.uint64(1)) << np.uint64(c % 64)
+    return out.view(np.int64)
+
+
 class Shingler:
     """Hashes of runs of words; a word is a run of bytes without ASCII blanks."""
 

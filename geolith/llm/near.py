@@ -1,12 +1,13 @@
 """MinHash near-dedup: banded DartMinHash signatures, exact verification, connected components.
 
 Documents with the same words in the same order are one representative before
-any pair is formed. Documents that share a band meet the least of them, the hub,
-only; where the components found that way leave a band's documents apart, those
-outside its largest component are compared with all that they are apart from. A
-pair is skipped only if its documents are in one component already, so the
-components are those of all verified candidate pairs, and no group is expanded
-into its pairs.
+any pair is formed. Documents that share a band meet one of them only, the hub, which
+a hash draws anew for each band. Where the components found that way leave a
+band's documents apart, those outside its largest component meet all that they
+are apart from and that their signatures say may be alike. A pair is skipped only
+if its documents are in one component already or agree in fewer coordinates than
+a pair at the similarity does but once in 30,000 times, so the components are those
+of all verified candidate pairs, and no group is expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ from pyspark.sql import functions as F
 
 from geolith.llm.common import written
 from geolith.llm.graph import components
-from geolith.llm.minhash import Shingler, bands, signatures
+from geolith.llm.minhash import Shingler, bands, planes, signatures
 
-SIZE, SIMILARITY, COORDINATES, ROWS = 5, 0.8, 125, 5
+#: Bands come from the first BANDS x ROWS coordinates; all are compared where a pair is in doubt.
+SIZE, SIMILARITY, COORDINATES, BANDS, ROWS = 5, 0.8, 192, 25, 5
+#: Bits of each coordinate that are compared, and standard deviations below the expected agreement that are still in doubt.
+PLANES, DOUBT = 8, 4.0
 
 _shinglers: dict[int, Shingler] = {}
 
@@ -31,8 +35,8 @@ def shingler(size: int) -> Shingler:
     return _shinglers.setdefault(size, Shingler(size))
 
 
-def sign(docs: DataFrame, size: int, k: int, rows: int, weighted: bool) -> DataFrame:
-    """``uid, doc_id, md5, words, n, bands`` of every row; ``words`` hashes the word sequence to 128 bits."""
+def sign(docs: DataFrame, size: int, k: int, n_bands: int, rows: int, weighted: bool) -> DataFrame:
+    """``uid, doc_id, md5, words, n, bands, planes`` of every row; ``words`` hashes the word sequence to 128 bits."""
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -53,13 +57,13 @@ def sign(docs: DataFrame, size: int, k: int, rows: int, weighted: bool) -> DataF
                 weight = np.concatenate(weights).astype(float) if weighted else None
                 sig = signatures(flat, weight, np.repeat(np.arange(len(n)), n), len(n), k)
                 yield pd.DataFrame(
-                    {"uid": part["uid"], "doc_id": part["doc_id"], "md5": part["md5"], "words": seqs, "n": [int(x.sum()) for x in weights] if weighted else n, "bands": list(bands(sig, rows))}
+                    {"uid": part["uid"], "doc_id": part["doc_id"], "md5": part["md5"], "words": seqs, "n": [int(x.sum()) for x in weights] if weighted else n, "bands": list(bands(sig[:, : n_bands * rows], rows)), "planes": list(planes(sig, PLANES))}
                 )
 
     rows_in = docs.select(
         F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("string").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("md5"), "text"
     )
-    out = rows_in.mapInPandas(each, "uid long, doc_id string, md5 binary, words binary, n int, bands array<bigint>")
+    out = rows_in.mapInPandas(each, "uid long, doc_id string, md5 binary, words binary, n int, bands array<bigint>, planes array<bigint>")
     return written(out.withColumn("doc_id", F.col("doc_id").cast("long")), "signatures")
 
 
@@ -93,43 +97,47 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, k: int = COORDINATES, rows: int = ROWS, weighted: bool = False
+    docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, k: int = COORDINATES, n_bands: int = BANDS, rows: int = ROWS, weighted: bool = False
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, class_id, class_size, kept, text_md5``.
 
     Similarity is the Jaccard similarity of the sets of ``size`` consecutive words
     (all words of a shorter text); with ``weighted``, of the multisets. Links are
     the pairs with at least ``similarity``; ``class_id`` is the least doc_id that
-    links lead to and ``kept`` marks its document. A band is ``rows`` of ``k``
-    coordinates: at 25 bands of 5, a pair at 0.8 is missed once in 20,000 times.
+    links lead to and ``kept`` marks its document. Of ``k`` coordinates the first
+    make ``n_bands`` bands of ``rows``: at 25 of 5, a pair at 0.8 is missed once in
+    20,000 times.
 
     Texts with the same words in the same order are in one class, among them all
     that have no words (null, empty, blank). Rows that repeat a doc_id are in one
     class if their texts are, and are kept together. A null doc_id is never a
     class_id unless the class has no other. An empty table gives an empty result.
     """
-    signed = sign(docs, size, k, rows, weighted)
+    signed = sign(docs, size, k, n_bands, rows, weighted)
     reps = written(signed.groupBy("words").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("low"), F.count("*").alias("copies")), "representatives")
     chosen = signed.join(reps.select("rep"), F.col("uid") == F.col("rep"), "left_semi").where("n > 0")
 
     in_bands = chosen.select("uid", "n", F.explode("bands").alias("band"))
-    hubs = in_bands.groupBy("band").agg(F.min("uid").alias("hub"), F.min_by("n", "uid").alias("hub_n"), F.count("*").alias("_c")).where("_c > 1")
+    drawn = F.xxhash64("band", "uid")
+    hubs = in_bands.groupBy("band").agg(F.min_by("uid", drawn).alias("hub"), F.min_by("n", drawn).alias("hub_n"), F.count("*").alias("_c")).where("_c > 1")
     hubs = written(hubs.select(F.col("band").alias("_b"), "hub", "hub_n"), "hubs")
     members = written(in_bands.join(hubs, F.col("band") == F.col("_b")).select("band", "uid", "n", "hub", "hub_n"), "members")
 
     alike = F.least("n", "m") >= similarity * F.greatest("n", "m")
-    pairs = members.where("uid <> hub").select(F.col("hub").alias("a"), F.col("uid").alias("b"), "n", F.col("hub_n").alias("m"))
+    pairs = members.where("uid <> hub").select(F.least("hub", "uid").alias("a"), F.greatest("hub", "uid").alias("b"), "n", F.col("hub_n").alias("m"))
     pairs = written(pairs.where(alike).select("a", "b").distinct(), "pairs")
     wanted = signed.join(members.select(F.col("uid").alias("_u")).distinct(), F.col("uid") == F.col("_u"), "left_semi").select("uid", "doc_id", "md5")
     sets = shingle_sets(docs, wanted, size, weighted)
     links = written(verified(pairs, sets, similarity), "links")
     joined = components(links)
 
-    apart = _apart(members, joined, similarity)
-    apart = written(apart.join(pairs, ["a", "b"], "left_anti"), "apart")
-    if not apart.isEmpty():
-        links = links.unionByName(written(verified(apart, sets, similarity), "links"))
-        joined = components(links)
+    tested = pairs
+    for doubt in (0.0, DOUBT):  # likely links first: what they join needs no further comparison
+        apart = _apart(members, joined, signed.select("uid", "bands", "planes"), similarity, k, doubt)
+        apart = written(apart.join(tested, ["a", "b"], "left_anti"), "apart")
+        if not apart.isEmpty():
+            links = written(links.unionByName(verified(apart, sets, similarity)), "links")
+            joined, tested = components(links), tested.unionByName(apart)
 
     labelled = reps.join(joined, F.col("rep") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "rep"))
     labelled = written(labelled.select("words", "low", "copies", "_root"), "labelled")
@@ -139,18 +147,35 @@ def near_duplicates(
     return out.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), F.lower(F.hex("md5")).alias("text_md5"))
 
 
-def _apart(members: DataFrame, joined: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of a band in different components, each with one at least outside the band's largest component."""
+def _apart(members: DataFrame, joined: DataFrame, signed: DataFrame, similarity: float, k: int, doubt: float) -> DataFrame:
+    """Pairs of a band in different components, each with one at least outside the band's largest component.
+
+    A pair comes from the first band that it shares, and only if enough of its
+    coordinates agree: those whose low bits do, counted on bit planes.
+    """
     labelled = members.select("band", "uid", "n").join(joined, F.col("uid") == F.col("node"), "left")
     labelled = written(labelled.select("band", "uid", "n", F.coalesce("root", "uid").alias("root")), "labelled")
     sizes = labelled.groupBy("band", "root").agg(F.count("*").alias("_c"))
     most = sizes.groupBy("band").agg(F.max_by("root", "_c").alias("_major"), F.count("*").alias("_parts")).where("_parts > 1")
     most = written(most.select(F.col("band").alias("_b"), "_major"), "majorities")
-    open_ = written(labelled.join(most, F.col("band") == F.col("_b")).drop("_b"), "open")
-    few = written(open_.where("root <> _major").select(F.col("band").alias("_b"), F.col("uid").alias("_u"), F.col("n").alias("_n"), F.col("root").alias("_r")), "outside")
-    alike = (F.least("n", "_n") >= similarity * F.greatest("n", "_n")) & ((F.col("root") == F.col("_major")) | (F.col("uid") > F.col("_u")))
-    met = few.join(open_, (F.col("_b") == F.col("band")) & (F.col("_r") != F.col("root")) & alike)
-    return met.select(F.least("uid", "_u").alias("a"), F.greatest("uid", "_u").alias("b")).distinct()
+    open_ = labelled.join(most, F.col("band") == F.col("_b")).drop("_b")
+    full = written(open_.join(signed.withColumnRenamed("uid", "_id"), F.col("uid") == F.col("_id")).drop("_id"), "open")
+    few = written(full.where("root <> _major").select(*(F.col(c).alias(f"_{c}") for c in ("band", "uid", "n", "root", "bands", "planes"))), "outside")
+    alike = (F.least("n", "_n") >= similarity * F.greatest("n", "_n")) & ((F.col("root") == F.col("_major")) | (F.col("uid") > F.col("_uid")))
+
+    lanes = -(-k // 64)
+    differ = F.lit(0)
+    for lane in range(lanes):
+        bits = F.lit(0).cast("long")
+        for plane in range(PLANES):
+            at = lane * PLANES + plane
+            bits = bits.bitwiseOR(F.get("planes", F.lit(at)).bitwiseXOR(F.get("_planes", F.lit(at))))
+        differ = differ + F.bit_count(bits)
+    p = similarity + (1 - similarity) * 2.0**-PLANES
+    agree = F.lit(k) - differ >= k * p - doubt * (k * p * (1 - p)) ** 0.5
+    first = F.get(F.array_intersect("bands", "_bands"), F.lit(0)) == F.col("band")
+    met = few.join(full, (F.col("_band") == F.col("band")) & (F.col("_root") != F.col("root")) & alike & agree & first)
+    return met.select(F.least("uid", "_uid").alias("a"), F.greatest("uid", "_uid").alias("b")).distinct()
 
 
 def op2_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
