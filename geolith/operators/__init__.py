@@ -1,0 +1,82 @@
+"""Filters and joins by place, as plain range predicates before any exact test."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from geolith import functions as G
+
+#: Bytes up to which a side may be broadcast, by Catalyst's estimate of its size.
+SMALL = 64 << 20
+
+
+def inside_envelope(box: Column, xmin: float, ymin: float, xmax: float, ymax: float) -> Column:
+    """Whether a box lies in the envelope, its border included; false for null boxes."""
+    return F.coalesce((box["xmin"] >= xmin) & (box["ymin"] >= ymin) & (box["xmax"] <= xmax) & (box["ymax"] <= ymax), F.lit(False))
+
+
+def locate_in_envelope(df: DataFrame, geom: str, envelope: tuple[float, float, float, float], box: str | None = None) -> DataFrame:
+    """The rows whose geometry has its bounding box in the envelope.
+
+    With ``box``, a stored column of boxes, the filter is native and reaches the scan.
+    """
+    if box is not None:
+        return df.where(inside_envelope(F.col(box), *envelope))
+    return df.withColumn("__box", G.box2d(geom)).where(inside_envelope(F.col("__box"), *envelope)).drop("__box")
+
+
+def _size(df: DataFrame) -> int:
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def boxes_meet(a: Column, b: Column) -> Column:
+    return (a["xmin"] <= b["xmax"]) & (b["xmin"] <= a["xmax"]) & (a["ymin"] <= b["ymax"]) & (b["ymin"] <= a["ymax"])
+
+
+def spatial_pairs(left: DataFrame, right: DataFrame, left_geom: str, right_geom: str, predicate=G.st_intersects, cell: float | None = None) -> DataFrame:
+    """Inner join of all pairs for which ``predicate(left, right)`` holds; it has to imply that the boxes meet.
+
+    A right side of at most SMALL bytes is broadcast and only its boxes are
+    compared natively. Otherwise both sides are dealt to the cells of a grid
+    (``cell`` wide; by default twice the mean width of a box) and joined by cell; a
+    pair is kept in the one cell that holds the lower corner of what the boxes share.
+    """
+    a = left.withColumn("__a", G.box2d(left_geom)).where("__a IS NOT NULL")
+    b = right.withColumn("__b", G.box2d(right_geom)).where("__b IS NOT NULL")
+    meet = boxes_meet(F.col("__a"), F.col("__b"))
+    exact = predicate(F.col(left_geom), F.col(right_geom))
+    if cell is None and _size(right) <= SMALL:
+        return a.join(F.broadcast(b), meet).where(exact).drop("__a", "__b")
+    if cell is None:
+        spans = [d.agg(F.avg(F.greatest(F.col(c)["xmax"] - F.col(c)["xmin"], F.col(c)["ymax"] - F.col(c)["ymin"]))).first()[0] for d, c in ((a, "__a"), (b, "__b"))]
+        cell = max(2 * max((s or 0.0 for s in spans), default=0.0), 1e-9) or 1.0
+
+    def dealt(df: DataFrame, box: str, x: str, y: str) -> DataFrame:
+        at = lambda v: F.floor(F.col(box)[v] / cell).cast("long")
+        df = df.withColumn(x, F.explode(F.sequence(at("xmin"), at("xmax"))))
+        return df.withColumn(y, F.explode(F.sequence(at("ymin"), at("ymax"))))
+
+    a, b = dealt(a, "__a", "__x", "__y"), dealt(b, "__b", "__u", "__v")
+    corner = lambda v: F.floor(F.greatest(F.col("__a")[v], F.col("__b")[v]) / cell)
+    own = (corner("xmin") == F.col("__x")) & (corner("ymin") == F.col("__y"))
+    met = a.join(b, (F.col("__x") == F.col("__u")) & (F.col("__y") == F.col("__v")) & meet & own)
+    return met.where(exact).drop("__a", "__b", "__x", "__y", "__u", "__v")
+
+
+def spatial_join(left: DataFrame, right: DataFrame, left_geom: str, right_geom: str, how: str = "inner", key: str | None = None, predicate=G.st_intersects, cell: float | None = None) -> DataFrame:
+    """Join by a spatial predicate: inner, left, left_semi or left_anti; the last three need ``key``, unique in ``left``.
+
+    Spark takes no Python predicate in the condition of an outer, semi or anti
+    join, so these join by the keys of the inner join's pairs.
+    """
+    if how == "inner":
+        return spatial_pairs(left, right, left_geom, right_geom, predicate, cell)
+    slim = left.select(F.col(key).alias("__key"), F.col(left_geom).alias("__geom"))
+    pairs = spatial_pairs(slim, right, "__geom", right_geom, predicate, cell).drop("__geom")
+    if how in ("left_semi", "left_anti"):
+        keys = pairs.select("__key").distinct()
+        return left.join(keys, left[key] == keys["__key"], how)
+    if how == "left":
+        return left.join(pairs, left[key] == pairs["__key"], "left").drop("__key")
+    raise ValueError(f"no spatial join: {how}")

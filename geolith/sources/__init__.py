@@ -1,0 +1,26 @@
+"""Geometry columns from Python shapes and from payloads without a tag."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+
+from geolith.geo import codec
+from geolith.geo.model import Dialect, Geometry
+
+Shape = Geometry | bytes | None
+
+
+def encode(shapes: Iterable[Shape], dialect: Dialect = Dialect.EWKB) -> list[bytes | None]:
+    """Tagged values: geometries are encoded, payloads are checked and tagged, None stays null."""
+    return [codec.tag_wkb(s, dialect) if isinstance(s, (bytes, bytearray)) else codec.encode(s, dialect) for s in shapes]
+
+
+def decode(values: Iterable[bytes | None]) -> list[Geometry | None]:
+    return [codec.decode(v) for v in values]
+
+
+def from_shapes(spark: SparkSession, shapes: Sequence[Shape], dialect: Dialect = Dialect.EWKB, name: str = "geom") -> DataFrame:
+    """A table of one geometry column."""
+    return spark.createDataFrame([(v,) for v in encode(shapes, dialect)], f"{name} binary")
