@@ -14,7 +14,7 @@ import os
 
 import numpy as np
 
-#: Chunks that one Python worker remembers; beyond that it starts anew.
+#: Chunks that one Python worker remembers: the first it meets, among which the frequent ones are.
 CACHE = 400_000
 
 _encoders: dict[str, "Encoder"] = {}
@@ -40,37 +40,26 @@ class Encoder:
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=self.dtype).tobytes()
 
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > CACHE:
-            self.known = {}
-        for i in range(0, len(chunks), 4096):
-            some = chunks[i : i + 4096]
-            encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.known.update(zip(some, (self._bytes(e.ids) for e in encoded)))
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of chunks that aren't remembered; as many as there is room for are from now on."""
+        encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        found = dict(zip(chunks, (self._bytes(e.ids) for e in encoded)))
+        if len(self.known) + len(found) <= CACHE:
+            self.known.update(found)
+        return found
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; null counts as empty."""
-        out: list[np.ndarray] = []
-        for text in texts:
-            if not text:
-                out.append(np.empty(0, self.dtype))
-                continue
-            if "  " in text or any(s in text for s in self.special):
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype))
-                continue
-            first, *rest = text.split(" ")
-            chunks = [first, *[" " + c for c in rest]] if rest else [first]
-            known = self.known
-            try:
-                out.append(np.frombuffer(b"".join([known[c] for c in chunks]), self.dtype))
-            except KeyError:
-                own = {c for c in chunks if c not in known}
-                if len(own) > CACHE // 2:
-                    out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype))
-                    continue
-                if len(known) + len(own) > CACHE:
-                    own = set(chunks)
-                self._learn(list(own))
-                known = self.known
-                out.append(np.frombuffer(b"".join([known[c] for c in chunks]), self.dtype))
-        return out
+        return [self._one(text) if text else np.empty(0, self.dtype) for text in texts]
+
+    def _one(self, text: str) -> np.ndarray:
+        if "  " in text or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
+        first, *rest = text.split(" ")
+        chunks = [first, *[" " + c for c in rest]]
+        known = self.known
+        missing = {c for c in chunks if c not in known}
+        if missing:
+            found = self._learn(list(missing))
+            return np.frombuffer(b"".join([known[c] if c in known else found[c] for c in chunks]), self.dtype)
+        return np.frombuffer(b"".join([known[c] for c in chunks]), self.dtype)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolith.llm.bpe import encoder
-from geolith.llm.common import numbered
+from geolith.llm.common import numbered, written
 from geolith.llm.tokens import END, vocabulary_path
 
 CAPACITY = 1024
@@ -152,7 +152,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     pieces = texts.mapInPandas(tokenise, "doc_id string, piece int, start long, length long, ids binary, id_bytes int")
     keys = ["length", "doc_id", "piece"]
-    table, offsets = numbered(pieces.withColumn("doc_id", F.col("doc_id").cast("long")), keys, "pieces")
+    pieces = written(pieces.withColumn("doc_id", F.col("doc_id").cast("long")), "encoded")  # the range sort samples its input
+    table, offsets = numbered(pieces, keys, "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for n, k in table.groupBy("length").count().collect():  # at most `capacity` rows
         counts[n] = k
