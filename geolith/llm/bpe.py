@@ -5,7 +5,9 @@ of a byte-level BPE always cuts too: its pieces are an optional blank and a run
 of one class of characters, or white space, and of several white-space
 characters only the last can join the next piece. So the ids of the text are
 those of its chunks in a row, and a chunk that was seen before costs a lookup.
-Texts with two blanks together or a special token are encoded whole.
+Chunks that weren't are encoded in one call as one text, which is divided again by
+the bytes that each id stands for. Texts with two blanks together or a special
+token are encoded whole.
 """
 
 from __future__ import annotations
@@ -16,6 +18,10 @@ import numpy as np
 
 #: Chunks that one Python worker remembers: the first it meets, among which the frequent ones are.
 CACHE = 400_000
+#: Texts whose unknown chunks are encoded together.
+TOGETHER = 64
+#: Signs that are a piece of their own after a letter.
+TAIL = ".,;:!?"
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -35,31 +41,63 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        #: Bytes of each id: a byte-level vocabulary writes each byte as one character.
+        self.n_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(token)
+        self.known: dict[str, bytes] = {}  # by the chunk without its blank
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """The ids of chunks that aren't remembered; as many as there is room for are from now on."""
-        encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        found = dict(zip(chunks, (self._bytes(e.ids) for e in encoded)))
-        if len(self.known) + len(found) <= CACHE:
-            self.known.update(found)
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of chunks, given without the blank before them; a word's are used for it with a tail, too."""
+        known, tails = self.known, {}
+        for c in chunks:
+            stem = c.rstrip(TAIL)
+            if len(stem) < len(c) and stem[-1:].isalpha():
+                tails[c] = (stem, c[len(stem) :])
+        stems = {stem for stem, _ in tails.values()}.difference(known)
+        found = self._new(stems.union(chunks.difference(tails)))
+        ends = {tail for _, tail in tails.values()}
+        ends = dict(zip(ends, self._each(list(ends))))
+        found.update({c: (known.get(stem) or found[stem]) + ends[tail] for c, (stem, tail) in tails.items()})
         return found
 
+    def _new(self, chunks: set[str]) -> dict[str, bytes]:
+        joined = [c for c in chunks if c and not c[-1].isspace()]  # after these, a blank always begins a piece
+        found = self._divided(joined) if joined else {}
+        single = [c for c in chunks if c not in found]
+        if single:
+            found.update(zip(single, self._each([" " + c for c in single])))
+        return found
+
+    def _divided(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of chunks encoded as one text; nothing if the ids' bytes don't meet the chunks' ends."""
+        ids = np.frombuffer(self._each([" " + " ".join(chunks)])[0], self.dtype)
+        ends = np.cumsum(self.n_bytes[ids])
+        wanted = np.cumsum([len(c.encode()) + 1 for c in chunks])
+        at = np.searchsorted(ends, wanted)
+        if not len(ends) or ends[-1] != wanted[-1] or (ends[at] != wanted).any():
+            return {}
+        data, cuts = ids.tobytes(), ((at + 1) * self.dtype.itemsize).tolist()
+        return {c: data[i:j] for c, i, j in zip(chunks, [0, *cuts], cuts)}
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; null counts as empty."""
-        return [self._one(text) if text else np.empty(0, self.dtype) for text in texts]
-
-    def _one(self, text: str) -> np.ndarray:
-        if "  " in text or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
-        first, *rest = text.split(" ")
-        chunks = [first, *[" " + c for c in rest]]
-        known = self.known
-        missing = {c for c in chunks if c not in known}
-        if missing:
-            found = self._learn(list(missing))
-            return np.frombuffer(b"".join([known[c] if c in known else found[c] for c in chunks]), self.dtype)
-        return np.frombuffer(b"".join([known[c] for c in chunks]), self.dtype)
+        return [x for lo in range(0, len(texts), TOGETHER) for x in self._some([t or "" for t in texts[lo : lo + TOGETHER]])]
+
+    def _some(self, texts: list[str]) -> list[np.ndarray]:
+        whole = ["  " in t or any(s in t for s in self.special) for t in texts]
+        parts = [[t] if w else t.split(" ") for t, w in zip(texts, whole)]
+        fronts = self._each([p[0] for p in parts])
+        rests = [p[1:] for p in parts]
+        known, room = self.known, CACHE - len(self.known)
+        found = self._learn(set().union(*rests).difference(known))
+        known.update(found)
+        out = [np.frombuffer(b"".join([front, *map(known.__getitem__, rest)]), self.dtype) for front, rest in zip(fronts, rests)]
+        if len(found) > room:
+            for c in found:
+                del known[c]
+        return out
