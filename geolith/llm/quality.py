@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from geolith.llm.common import written
 
 BUCKETS, WIDTH, NONZERO, WINDOW = 8192, 32, 4, 2
+#: Tokens whose pairs are counted together; a longer text is counted alone.
+BLOCK = 1 << 18
 #: Labelled rows that the network learns from, at most; the choice goes by a hash of doc_id.
 LABELLED = 20_000
 THRESHOLD = 0.3
@@ -65,27 +67,38 @@ def index_vectors() -> np.ndarray:
     return out
 
 
+def add_contexts(total: np.ndarray, each: list[np.ndarray], index: np.ndarray) -> None:
+    """Add to ``total`` (flat) what the neighbours in ``each`` document's ids bring; equal pairs are counted first."""
+    codes = [x[:-d] * BUCKETS + x[d:] for x in each for d in range(1, WINDOW + 1) if len(x) > d]
+    if not codes:
+        return
+    codes = np.sort(np.concatenate(codes).astype(np.uint32))  # BUCKETS squared is 2**26
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    count = np.diff(first, append=len(codes))
+    left, right = np.divmod(codes[first].astype(np.int64), BUCKETS)
+    places = np.argsort(index == 0, axis=1, kind="stable")[:, :NONZERO]
+    signs = np.take_along_axis(index, places, axis=1)
+    for at, by in ((left, right), (right, left)):
+        for k in range(NONZERO):
+            total += np.bincount(at * WIDTH + places[by, k], count * signs[by, k], len(total))
+
+
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit context vectors of all buckets, summed over all of ``docs`` (``text``); zero where a bucket never occurs."""
     names = [f"c{i}" for i in range(WIDTH)]
 
     def gather(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, total = index_vectors(), np.zeros((BUCKETS, WIDTH), np.int64)
+        index, total = index_vectors(), np.zeros(BUCKETS * WIDTH)
+        held, n = [], 0
         for frame in frames:
-            for lo in range(0, len(frame), 64):
-                each = [_tokens.ids(t) for t in frame["text"].iloc[lo : lo + 64]]
-                ids = np.concatenate(each)
-                if not len(ids):
-                    continue
-                owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
-                near = np.zeros((len(ids), WIDTH), np.int32)
-                for d in range(1, WINDOW + 1):
-                    same = (owner[d:] == owner[:-d])[:, None]
-                    near[d:] += index[ids[:-d]] * same
-                    near[:-d] += index[ids[d:]] * same
-                order = np.argsort(ids, kind="stable")
-                at = np.flatnonzero(np.diff(ids[order], prepend=-1))
-                total[ids[order][at]] += np.add.reduceat(near[order], at, axis=0)
+            for text in frame["text"]:
+                held.append(_tokens.ids(text))
+                n += len(held[-1])
+                if n >= BLOCK:
+                    add_contexts(total, held, index)
+                    held, n = [], 0
+        add_contexts(total, held, index)
+        total = total.reshape(BUCKETS, WIDTH).astype(np.int64)
         some = np.flatnonzero(total.any(axis=1))
         yield pd.DataFrame(total[some], columns=names).assign(bucket=some)
 
@@ -101,11 +114,16 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 def features(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
     """The pooled features of each text; a text without tokens has zeros."""
     rows = np.zeros((len(texts), 2 * WIDTH + 3))
+    vectors = vectors.astype(float)
+    squares = vectors * vectors
     for k, text in enumerate(texts):
         ids = _tokens.ids(text)
         if len(ids):
-            v = vectors[ids]
-            rows[k] = [*v.mean(0), *v.std(0), np.log1p(len(ids)), len(np.unique(ids)) / len(ids), len(text) / len(ids) / 10]
+            some, count = np.unique(ids, return_counts=True)
+            share = count / len(ids)
+            mean = share @ vectors[some]
+            spread = np.sqrt(np.maximum(share @ squares[some] - mean * mean, 0))
+            rows[k] = [*mean, *spread, np.log1p(len(ids)), len(some) / len(ids), len(text) / len(ids) / 10]
     return rows
 
 
