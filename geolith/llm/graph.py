@@ -13,8 +13,12 @@ def _near(sided: DataFrame) -> DataFrame:
     return sided.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")).select(F.col("a").alias("k"), "m")
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node with a lesser neighbour has one only, and that has none: then it is the root."""
+    ends = edges.select(F.col("a").alias("k"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("k"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    ends = ends.groupBy("k").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.where("up > 1 OR up > 0 AND down > 0").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,8 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = written(edges, "edges")
-    mark = _mark(edges)
-    while mark[0]:
+    while not _settled(edges):
         sided = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = written(_near(sided), "near")
         large = sided.join(near, F.col("a") == F.col("k")).where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -35,7 +38,4 @@ def components(edges: DataFrame) -> DataFrame:
         near = written(_near(large), "near")
         small = large.join(near, F.col("a") == F.col("k")).where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         edges = written(small.unionByName(near.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
-        last, mark = mark, _mark(edges)
-        if mark == last:
-            break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -469,3 +469,20 @@ def test_pipeline(spark, docs, texts):
     times = {r.doc_id: r.times for r in taken if r.times}
     got = Counter(r.doc_id for r in corpus_pipeline.run(spark, SF).where("piece = 0").collect())
     assert got == Counter(times)
+
+
+@pytest.mark.parametrize("edges", [[], [(4, 4)], [(i, i + 1) for i in range(40)], [(9, i) for i in range(30)], [(i * 37 % 101, i * i % 103) for i in range(90)]])
+def test_components(spark, edges):
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    got = sorted(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == sorted((x, root(x)) for x in up)
