@@ -1,13 +1,18 @@
 """Embedding near-dedup: inverted lists, product-quantised residuals, exact cosine rerank.
 
 Equal vectors are one representative. Each representative stands in the lists of
-its ``probes`` nearest coarse centroids, so the candidates of a list are all pairs
-in it, and a pair is counted in the first list that both stand in. In a list the
+its nearest coarse centroids, so the candidates of a list are all pairs in it, and
+a pair is counted in the first list that both stand in. The centroids are random
+directions, not fitted ones: the chance that a pair shares no list then depends on
+its cosine alone, whatever the other vectors are, so a dense group isn't split.
+The number of lists of a vector is the least at which that chance is below
+``MISS`` at the threshold; closer pairs share a list more often. In a list the
 residual to the centroid is coded by product quantisation; a table of the partial
 products of a query and the codewords gives the asymmetric estimate q . x'. As
 q . x is at most that plus the length of the coding error of x, which is kept, no
 candidate that reaches the threshold is dismissed. Those left are compared
-exactly, in double precision.
+exactly, in double precision; where they are many, all products of a tile are
+taken at once.
 """
 
 from __future__ import annotations
@@ -24,9 +29,16 @@ from geolith.llm.common import written
 from geolith.llm.graph import components
 
 COSINE = 0.95
-#: Vectors that the index is fitted on, by hash order; every vector is indexed.
+#: Vectors that the codebooks are fitted on, by hash order; every vector is indexed.
 SAMPLE = 20_000
-LISTS, PROBES, PARTS, CODES, BLOCK = 2048, 6, 8, 64, 128
+#: The accepted chance that a pair at the threshold shares no list, and the pairs it is simulated with.
+MISS, TRIALS = 0.001, 20_000
+#: Lists are made fewer until so many probes are enough.
+MOST = 10
+#: Mean rows of a list are LEAST times the probes; a task compares two blocks, in tiles.
+LEAST, PARTS, CODES, BLOCK, TILE = 256, 8, 64, 4096, 512
+#: From this share of candidates on, a tile is compared by one product of matrices.
+DENSE = 1 / 32
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -46,11 +58,53 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmax(x[i : i + 1024] @ c.T - half, axis=1) for i in range(0, len(x), 1024)]) if len(x) else np.empty(0, np.int64)
 
 
-def fit(sample: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Coarse centroids and the codebooks (parts, codes, width) of the residuals."""
+def directions(dim: int, k: int, seed: int = 7) -> np.ndarray:
+    """``k`` independent directions, uniform on the sphere."""
+    c = np.random.default_rng(seed).normal(size=(k, dim))
+    return c / np.linalg.norm(c, axis=1, keepdims=True)
+
+
+def nearest_lists(x: np.ndarray, c: np.ndarray, probes: int) -> np.ndarray:
+    """The numbers of the ``probes`` nearest directions, nearest first."""
+    near = x @ c.T
+    some = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
+    return np.take_along_axis(some, np.argsort(-np.take_along_axis(near, some, axis=1), axis=1, kind="stable"), axis=1)
+
+
+def sufficient_probes(dim: int, k: int, cosine: float, seed: int = 11) -> int:
+    """The least number of lists per vector at which a pair at ``cosine`` shares none with a chance of at most ``MISS``.
+
+    Simulated with pairs and directions of their own: as directions are uniform,
+    the chance is the same for every pair. If it takes more than ``MOST`` of ``k``
+    lists, more than ``MOST``.
+    """
+    most = min(MOST, k)
+    if most == 1:
+        return 1
+    g, c = np.random.default_rng(seed), directions(dim, k, seed + 1)
+    shared = np.zeros(most + 1, np.int64)  # pairs by the number of probes at which they first share a list
+    for lo in range(0, TRIALS, 1024):
+        x, z = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in g.normal(size=(2, min(1024, TRIALS - lo), dim)))
+        z -= (x * z).sum(1, keepdims=True) * x
+        y = cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * z / np.linalg.norm(z, axis=1, keepdims=True)
+        a, b = nearest_lists(x, c, most), nearest_lists(y, c, most)
+        at = np.full(len(a), most)
+        for p in range(most):
+            for q in range(most):
+                at = np.minimum(at, np.where(a[:, p] == b[:, q], max(p, q), most))
+        shared += np.bincount(at, minlength=most + 1)
+    missed = TRIALS - np.cumsum(shared[:most])
+    enough = np.flatnonzero(missed <= MISS * TRIALS)
+    return int(enough[0]) + 1 if len(enough) else MOST + 1
+
+
+def fit(sample: np.ndarray, lists: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coarse centroids of equal length and the codebooks (parts, codes, width) of the residuals."""
     dim = sample.shape[1]
-    coarse = kmeans(sample, max(1, min(LISTS, len(sample) // 8, 4 * isqrt(rows))))
-    rest = sample - coarse[nearest(sample, coarse)]
+    coarse = directions(dim, lists)
+    at = nearest(sample, coarse)
+    coarse *= max(0.01, np.einsum("ij,ij->i", sample, coarse[at]).mean())
+    rest = sample - coarse[at]
     width = -(-dim // PARTS)
     padded = np.pad(rest, ((0, 0), (0, width * PARTS - dim)))
     books = np.stack([_filled(kmeans(padded[:, p * width : (p + 1) * width], CODES)) for p in range(PARTS)])
@@ -80,7 +134,17 @@ def estimates(queries: np.ndarray, centroid: np.ndarray, codes: np.ndarray, book
     return out
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+def _sooner(a: np.ndarray, b: np.ndarray, at: int) -> np.ndarray:
+    """Whether the rows of ``a`` and ``b``, sorted list numbers, share a list before ``at``."""
+    out = np.zeros((len(a), len(b)), bool)
+    for x in a.T:
+        for y in b.T:
+            if (x < at).any() and (y < at).any():
+                out |= np.where(x < at, x, -1)[:, None] == y
+    return out
+
+
+def _forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Edges with the components of the given links, one less than its nodes for each."""
     up: dict[int, int] = {}
 
@@ -90,18 +154,38 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
             x = up[x]
         return x
 
-    for x, y in zip(a.tolist(), b.tolist()):
+    for x, y in links:
         x, y = root(x), root(y)
         if x != y:
             up[max(x, y)] = min(x, y)
     return [(x, root(x)) for x in up if root(x) != x]
 
 
-def link_vectors(vectors: DataFrame, cosine: float = COSINE, probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
+def _stars(on: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Edges with the components of the links ``on`` between the nodes ``a`` and ``b``, found from many links at once."""
+    out, left = [], on.any(axis=1)
+    while left.any():
+        rows = np.zeros(len(a), bool)
+        rows[np.argmax(left)] = True
+        while True:
+            cols = on[rows].any(axis=0)
+            more = on[:, cols].any(axis=1)
+            if (more == rows).all():
+                break
+            rows = more
+        nodes = np.concatenate([a[rows], b[cols]])
+        low = nodes.min()
+        out += [(x, int(low)) for x in nodes[nodes != low].tolist()]
+        left &= ~rows
+    return out
+
+
+def link_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE) -> DataFrame:
     """One row per row of ``vectors`` (``vec_id, embedding``): ``vec_id, n_links, component_id, kept``.
 
     ``n_links`` counts the other rows with a cosine of at least ``cosine`` that are
-    found; ``component_id`` is the least vec_id that links lead to.
+    found: a pair is missed with a chance of ``MISS`` at most, and none is where all
+    vectors fit one list. ``component_id`` is the least vec_id that links lead to.
 
     Vectors that are null, empty, zero or have null or non-finite components link
     with nothing and are their own component. Vectors of different lengths never
@@ -119,7 +203,7 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, probes: int = PROBE
 
     found = None
     for dim in sorted(sizes):
-        some = _compare(groups.where(F.size("_v") == dim), cosine, probes, sample)
+        some = _compare(groups.where(F.size("_v") == dim), cosine, sample)
         found = some if found is None else found.unionByName(some)
     if found is None:
         return v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -137,24 +221,25 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, probes: int = PROBE
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))
 
 
-def _compare(groups: DataFrame, cosine: float, probes: int, sample: int) -> DataFrame:
+def _compare(groups: DataFrame, cosine: float, sample: int) -> DataFrame:
     """``a, b, n``: with null ``b``, n links of a; else a and b are in one component."""
     rows = groups.count()
     drawn = groups.orderBy(F.xxhash64("_v"), "rep").limit(sample).select("_v").toArrow().column(0)
     drawn = np.array(drawn.combine_chunks().flatten()).reshape(len(drawn), -1)
     drawn = drawn / np.abs(drawn).max(axis=1, keepdims=True)
-    coarse, books = fit(drawn / np.linalg.norm(drawn, axis=1, keepdims=True), rows)
-    probes = min(probes, len(coarse))
+    count = max(1, min(rows // LEAST, 4 * isqrt(rows))) if drawn.shape[1] > 1 else 1
+    while (probes := sufficient_probes(drawn.shape[1], count, cosine)) > MOST:
+        count //= 2
+    coarse, books = fit(drawn / np.linalg.norm(drawn, axis=1, keepdims=True), count)
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        half = (coarse * coarse).sum(1) / 2
         for frame in frames:
             for lo in range(0, len(frame), 1024):
                 part = frame.iloc[lo : lo + 1024]
                 x = np.stack(part["_v"].to_numpy())
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                lists = np.argpartition(half - x @ coarse.T, probes - 1, axis=1)[:, :probes]
+                lists = nearest_lists(x, coarse, probes)
                 lists.sort(axis=1)
                 for p in range(probes):
                     codes, error = pq_code(x - coarse[lists[:, p]], books)
@@ -165,7 +250,7 @@ def _compare(groups: DataFrame, cosine: float, probes: int, sample: int) -> Data
     spread = groups.select("rep", "copies", "_v").mapInPandas(assign, "rep long, copies long, list int, lists array<int>, code binary, error double, unit binary")
     spread = written(spread, "lists")
     parts = [1] * len(coarse)
-    for r in spread.groupBy("list").count().collect():  # at most LISTS rows
+    for r in spread.groupBy("list").count().collect():  # at most as many rows as lists
         parts[r[0]] = -(-r[1] // BLOCK)
     blocks = F.get(F.lit(parts), F.col("list"))
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
@@ -179,23 +264,40 @@ def _compare(groups: DataFrame, cosine: float, probes: int, sample: int) -> Data
         error, lists, rep, copies = frame["error"].to_numpy(), np.stack(frame["lists"]), frame["rep"].to_numpy(), frame["copies"].to_numpy()
         one = np.flatnonzero(frame["_own"] == i)
         two = np.flatnonzero(frame["_own"] == j)
-        bound = cosine - 1e-9
-        near = estimates(unit[one], coarse[at], codes[two], books) + error[two] >= bound
-        near &= (estimates(unit[two], coarse[at], codes[one], books) + error[one] >= bound).T
-        a, b = np.nonzero(near)
-        a, b = one[a], two[b]
-        if i == j:
-            a, b = a[a < b], b[a < b]
-        # Of the lists that both stand in, the first counts.
-        shared = np.full(len(a), len(coarse))
-        for p in range(lists.shape[1]):
-            shared = np.minimum(shared, np.where((lists[b] == lists[a, p, None]).any(axis=1), lists[a, p], len(coarse)))
-        exact = np.einsum("ij,ij->i", unit[a], unit[b])
-        on = (shared == at) & (exact >= cosine)
-        a, b = a[on], b[on]
-        n = np.bincount(a, copies[b], len(frame)) + np.bincount(b, copies[a], len(frame))
+        bound, n, edges, dense = cosine - 1e-9, np.zeros(len(frame)), [], False
+        for lo in range(0, len(one), TILE):
+            p, q = one[lo : lo + TILE], two[lo if i == j else 0 :]
+            upper = np.arange(len(p))[:, None] < np.arange(len(q)) if i == j else True
+            if not dense:
+                near = estimates(unit[p], coarse[at], codes[q], books) + error[q] >= bound
+                near &= (estimates(unit[q], coarse[at], codes[p], books) + error[p] >= bound).T
+                near &= upper
+                dense = near.mean() > DENSE
+            if dense:
+                on = (unit[p] @ unit[q].T >= cosine) & upper
+                dense = on.mean() > DENSE
+                on &= ~_sooner(lists[p], lists[q], at)
+                n[p] += on @ copies[q].astype(float)
+                n[q] += copies[p].astype(float) @ on
+                if on.mean() > DENSE:
+                    edges += _stars(on, rep[p], rep[q])
+                else:
+                    a, b = np.nonzero(on)
+                    edges += zip(rep[p][a].tolist(), rep[q][b].tolist())
+                continue
+            a, b = np.nonzero(near)
+            a, b = p[a], q[b]
+            # Of the lists that both stand in, the first counts.
+            shared = np.full(len(a), len(coarse))
+            for k in range(lists.shape[1]):
+                shared = np.minimum(shared, np.where((lists[b] == lists[a, k, None]).any(axis=1), lists[a, k], len(coarse)))
+            exact = np.einsum("ij,ij->i", unit[a], unit[b])
+            on = (shared == at) & (exact >= cosine)
+            a, b = a[on], b[on]
+            n += np.bincount(a, copies[b], len(frame)) + np.bincount(b, copies[a], len(frame))
+            edges += zip(rep[a].tolist(), rep[b].tolist())
         linked = np.flatnonzero(n)
-        edges = _forest(rep[a], rep[b])
+        edges = _forest(edges)
         return pd.DataFrame(
             {"a": [*rep[linked], *(e[0] for e in edges)], "b": pd.array([None] * len(linked) + [e[1] for e in edges], dtype="Int64"), "n": [*n[linked].astype(np.int64), *(0 for _ in edges)]}
         )

@@ -364,6 +364,31 @@ def test_vectors_odd(spark):
     assert vectors.link_vectors(frame.where("vec_id = 3")).collect()[0].n_links == 0
 
 
+def _unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def links_by_product(x, cosine=0.95):
+    """How many others each row of ``x`` links with, from all products."""
+    u = _unit(x.astype(np.float32).astype(float))
+    return np.concatenate([(u[i : i + 1000] @ u.T >= cosine).sum(1) for i in range(0, len(u), 1000)]) - 1
+
+
+def test_vectors_group_of_a_third(spark):
+    """A big group of near copies isn't scattered over the lists: its links are found, and its component."""
+    g = np.random.default_rng(8)
+    base, group = g.normal(size=(8000, 64)), 4000
+    x = np.concatenate([base, _unit(g.normal(size=(1, 64))) + 0.026 * g.normal(size=(group, 64))])
+    want = links_by_product(x)
+    share = want[8000:].sum() / group / (group - 1)
+    assert 0.5 < share < 1
+    frame = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    got = vectors.link_vectors(frame).toPandas().sort_values("vec_id")
+    assert (got.n_links.to_numpy() <= want).all()
+    assert got.n_links.sum() >= 0.99 * want.sum()
+    assert (got.component_id[8000:][want[8000:] > 0] == 8000).mean() > 0.99
+
+
 # Quality
 
 
