@@ -21,6 +21,25 @@ from pyspark.sql import functions as F
 
 _NO_WORD_BEFORE, _NO_WORD_AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
+#: Lengths of IBANs by country.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _ibans() -> str:
+    """The length of the country first, so that no further word is taken; then any length."""
+    out = ""
+    for n, names in _IBAN_LENGTHS.items():
+        last = " ?[A-Z0-9]{%d}" % (n % 4) if n % 4 else ""
+        out += r"(?:%s)\d{2}(?: ?[A-Z0-9]{4}){%d}%s%s|" % ("|".join(names.split()), n // 4 - 1, last, _NO_WORD_AFTER)
+    return "(?:" + out + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)"
+
+
+#: What a card number doesn't go on with: a date, an address, a security or telephone number of its own.
+_NEXT = r"(?!(?:(?:19|20)\d\d-[01]\d-[0-3]\d|[0-3]?\d[./][0-3]?\d[./](?:19|20)\d\d|(?:\d{1,3}\.){3}\d{1,3}|\d{3}-\d{2}-\d{4}|\d{3}[\-.]\d{3}[\-.]\d{4})(?![\p{L}\p{N}_\-]))"
+
 #: What is looked for, in this order of preference at the same place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9\-])",
@@ -29,8 +48,8 @@ PATTERNS = {
     "ip": r"(?<![\p{L}\p{N}_.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}_])(?!\.\d)",
     "date": _NO_WORD_BEFORE + r"(?:(?:19|20)\d\d-[01]\d-[0-3]\d|[0-3]?\d([./])[01]?\d\1(?:19|20)\d\d)" + _NO_WORD_AFTER,
     "ssn": r"(?<![\p{L}\p{N}_\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}_\-])",
-    "iban": _NO_WORD_BEFORE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _NO_WORD_AFTER,
-    "card": r"(?<![\p{L}\p{N}_\-])\d(?:[ \-]?\d){12,18}" + _NO_WORD_AFTER,
+    "iban": _NO_WORD_BEFORE + _ibans() + _NO_WORD_AFTER,
+    "card": r"(?<![\p{L}\p{N}_\-])\d(?:(?:[ \-]" + _NEXT + r")?\d){12,18}" + _NO_WORD_AFTER,
 }
 #: What every finding has: a cheap test that most texts fail.
 _HINT = r"[0-9@]|[=:] ?\"?[A-Za-z0-9_\-]{8}"
@@ -108,12 +127,37 @@ def _luhn_sum(digits: Column, first_weight: int) -> Column:
     return F.aggregate(F.split(F.reverse(digits), ""), start, add, lambda s: s["t"])
 
 
+#: Groupings by which a part of a match is read as a card: the usual ones, which go first, and others.
+_USUAL, _GROUPED = r"^(?:\d{4}([ \-])\d{4}\1\d{4}\1\d{4}|\d{4}([ \-])\d{6}\2\d{4,5}|\d{13,19})$", r"^\d{4,}(?:[ \-]\d{4,})*(?:[ \-]\d+)?$"
+
+
+def _ends(x: Column, breaks: str) -> Column:
+    """The places in ``x`` where a group of characters ends."""
+    return F.filter(F.sequence(F.lit(1), F.length(x)), lambda i: (i == F.length(x)) | F.substring(x, i + 1, F.lit(1)).isin(*breaks))
+
+
 def _card(x: Column, key: str) -> Column:
-    body = F.substring(x, F.lit(1), F.length(x) - 1)
-    new = F.concat(F.substring(body, 1, 1), feistel_text(F.substring(body, F.lit(2), F.length(body)), key, "card"))
+    """The best valid reading in ``x`` permuted, what is around it kept: a match may hold further numbers."""
     digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
-    check = F.pmod(-_luhn_sum(digits(new), 2), F.lit(10)).cast("string")
-    return F.when(_luhn_sum(digits(x), 1) % 10 == 0, F.concat(new, check)).otherwise(x)
+
+    def reading(s: Column, e: Column) -> Column:
+        c = F.substring(x, s, e - s + 1)
+        rank = F.when(c.rlike(_USUAL), 0).when(c == x, 1).when(c.rlike(_GROUPED), 2)
+        return F.struct(rank.alias("rank"), (s - e).alias("less"), s.alias("s"), c.alias("c"))
+
+    def new(c: Column) -> Column:
+        body = F.substring(c, F.lit(1), F.length(c) - 1)
+        front = F.concat(F.substring(body, 1, 1), feistel_text(F.substring(body, F.lit(2), F.length(body)), key, "card"))
+        return F.concat(front, F.pmod(-_luhn_sum(digits(front), 2), F.lit(10)).cast("string"))
+
+    def valid(r: Column) -> Column:
+        return r["rank"].isNotNull() & F.length(digits(r["c"])).between(13, 19) & (_luhn_sum(digits(r["c"]), 1) % 10 == 0)
+
+    starts = F.concat(F.array(F.lit(1)), F.transform(F.filter(_ends(x, " -"), lambda i: i < F.length(x)), lambda i: i + 2))
+    all_of = F.flatten(F.transform(starts, lambda s: F.transform(F.filter(_ends(x, " -"), lambda e: e - s >= 12), lambda e: reading(s, e))))
+    best = F.array(F.array_min(F.filter(all_of, valid)))
+    around = lambda r: F.concat(F.substring(x, F.lit(1), r["s"] - 1), new(r["c"]), F.substring(x, r["s"] + F.length(r["c"]), F.length(x)))
+    return F.coalesce(F.get(F.transform(best, around), F.lit(0)), x)
 
 
 def _mod97(text: Column) -> Column:
@@ -126,12 +170,20 @@ def _mod97(text: Column) -> Column:
 
 
 def _iban(x: Column, key: str) -> Column:
-    bare = F.replace(x, F.lit(" "), F.lit(""))
-    front = F.substring(bare, 1, 2)
-    valid = _mod97(F.concat(F.substring(bare, F.lit(5), F.length(bare)), F.substring(bare, 1, 4))) == 1
-    new = feistel_text(F.substring(x, F.lit(5), F.length(x)), key, "iban")
-    check = 98 - _mod97(F.concat(F.replace(new, F.lit(" "), F.lit("")), front, F.lit("00")))
-    return F.when(valid, F.concat(front, F.lpad(check.cast("string"), 2, "0"), new)).otherwise(x)
+    """The longest valid reading from the start of ``x`` permuted, words after it kept."""
+    bare = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+
+    def valid(c: Column) -> Column:
+        b = bare(c)
+        return F.length(b).between(15, 34) & (_mod97(F.concat(F.substring(b, F.lit(5), F.length(b)), F.substring(b, 1, 4))) == 1)
+
+    def new(c: Column) -> Column:
+        front, rest = F.substring(c, 1, 2), feistel_text(F.substring(c, F.lit(5), F.length(c)), key, "iban")
+        check = 98 - _mod97(F.concat(bare(rest), front, F.lit("00")))
+        return F.concat(front, F.lpad(check.cast("string"), 2, "0"), rest, F.substring(x, F.length(c) + 1, F.length(x)))
+
+    readings = F.filter(F.transform(_ends(x, " "), lambda e: F.substring(x, F.lit(1), e)), valid)
+    return F.coalesce(F.get(F.transform(F.slice(F.reverse(readings), 1, 1), new), F.lit(0)), x)
 
 
 def _phone(x: Column, key: str) -> Column:
