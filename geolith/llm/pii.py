@@ -43,16 +43,16 @@ _NEXT = r"(?!(?:(?:19|20)\d\d-[01]\d-[0-3]\d|[0-3]?\d[./][0-3]?\d[./](?:19|20)\d
 #: What is looked for, in this order of preference at the same place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9\-])",
-    "secret": _NO_WORD_BEFORE + r"(?:AKIA[0-9A-Z]{16}|(?:[Pp]assword|[Pp]asswd|[Tt]oken|[Ss]ecret|[Aa]pi_?[Kk]ey) ?[=:] ?\"?[A-Za-z0-9_\-]{8,256})" + _NO_WORD_AFTER,
+    "secret": _NO_WORD_BEFORE + r"(?:AKIA[0-9A-Z]{16}|(?:[Pp]assword|[Pp]asswd|[Tt]oken|[Ss]ecret|[Aa]pi_?[Kk]ey) ?[=:] ?\"?[A-Za-z0-9_\-]{8,})" + _NO_WORD_AFTER,
     "phone": r"(?<![\p{L}\p{N}_+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[\-. ]\d{4}|\d{3}[\-.]\d{3}[\-.]\d{4})" + _NO_WORD_AFTER,
     "ip": r"(?<![\p{L}\p{N}_.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}_])(?!\.\d)",
-    "date": _NO_WORD_BEFORE + r"(?:(?:19|20)\d\d-[01]\d-[0-3]\d|[0-3]?\d([./])[01]?\d\1(?:19|20)\d\d)" + _NO_WORD_AFTER,
+    "date": _NO_WORD_BEFORE + r"(?:(?:19|20)\d\d-[01]\d-[0-3]\d|[0-3]?\d([./])[0-3]?\d\1(?:19|20)\d\d)" + _NO_WORD_AFTER,
     "ssn": r"(?<![\p{L}\p{N}_\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}_\-])",
     "iban": _NO_WORD_BEFORE + _ibans() + _NO_WORD_AFTER,
     "card": r"(?<![\p{L}\p{N}_\-])\d(?:(?:[ \-]" + _NEXT + r")?\d){12,18}" + _NO_WORD_AFTER,
 }
 #: What every finding has: a cheap test that most texts fail.
-_HINT = r"[0-9@]|[=:] ?\"?[A-Za-z0-9_\-]{8}"
+_HINT = r"[0-9@]|AKIA[A-Z]{16}|[=:] ?\"?[A-Za-z0-9_\-]{8}"
 ROUNDS = 6
 
 
@@ -210,19 +210,23 @@ _DAYS_A, _DAYS_B, _DAY_ONE = 27, 5411, "1800-01-01"
 
 
 def _date(x: Column, key: str) -> Column:
+    """Day before month where that is a date, else month before day."""
     iso = x.rlike("^[0-9]{4}-")
     sep = F.when(x.contains("/"), "/").otherwise(".")
     part = F.split(F.translate(x, "./", "--"), "-")
-    y, m, d = (F.when(iso, part[i]).otherwise(part[j]) for i, j in ((0, 2), (1, 1), (2, 0)))
-    day = F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
-    n = F.datediff(day, F.lit(_DAY_ONE).cast("date"))
-
-    def text(left: Column, right: Column) -> Column:
-        new = F.date_add(F.lit(_DAY_ONE).cast("date"), (left * _DAYS_B + right).cast("int"))
-        return F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.regexp_replace(F.date_format(new, "dd-MM-yyyy"), F.lit("-"), sep))
-
-    new = feistel_number(_DAYS_A, _DAYS_B, F.floor(n / _DAYS_B), n % _DAYS_B, key, "date", text)
-    return F.when(day.isNull(), x).otherwise(new)
+    read = lambda y, m, d: F.datediff(F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd"), F.lit(_DAY_ONE).cast("date"))
+    n = read(*(F.when(iso, part[i]).otherwise(part[j]) for i, j in ((0, 2), (1, 1), (2, 0))))
+    american = F.when(~iso, read(part[2], part[0], part[1]))
+    date = lambda n: F.date_add(F.lit(_DAY_ONE).cast("date"), n.cast("int"))
+    moved = lambda n: feistel_number(_DAYS_A, _DAYS_B, F.floor(n / _DAYS_B), n % _DAYS_B, key, "date", lambda left, right: left * _DAYS_B + right)
+
+    def walked(n: Column) -> Column:
+        """Permuted among the dates that can't be read as day and month: again until one is met."""
+        return F.aggregate(F.lit(list(range(80))), moved(n), lambda m, i: F.when(F.day(date(m)) <= 12, moved(m)).otherwise(m))
+
+    spelt = lambda d, form: F.regexp_replace(F.date_format(d, form), F.lit("-"), sep)
+    new = F.when(iso, F.date_format(date(moved(n)), "yyyy-MM-dd")).otherwise(spelt(date(moved(n)), "dd-MM-yyyy"))
+    return F.when(n.isNotNull(), new).when(american.isNotNull(), spelt(date(walked(american)), "MM-dd-yyyy")).otherwise(x)
 
 
 def _ssn(x: Column, key: str) -> Column:
