@@ -415,6 +415,24 @@ def test_vectors_group_of_a_third(spark):
     assert (got.component_id[8000:][want[8000:] > 0] == 8000).mean() > 0.99
 
 
+def test_vectors_planted_pairs(spark):
+    """Pairs just above 0.95 and groups of thousands: at least 0.99 of brute force."""
+    g = np.random.default_rng(9)
+    base = _unit(g.normal(size=(6000, 64)))
+    other = g.normal(size=(2000, 64))
+    other = _unit(other - (other * base[:2000]).sum(1, keepdims=True) * base[:2000])
+    cosine = g.uniform(0.9502, 0.955, (2000, 1))
+    pairs = cosine * base[:2000] + np.sqrt(1 - cosine**2) * other
+    groups = [_unit(g.normal(size=(1, 64))) + 0.026 * g.normal(size=(2000, 64)) for _ in range(2)]
+    x = np.concatenate([base, pairs, *groups])
+    want = links_by_product(x)
+    assert want[:2000].min() >= 1 and want[8000:].mean() > 1000
+    got = vectors.link_vectors(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")).toPandas().sort_values("vec_id").n_links.to_numpy()
+    print("planted", np.minimum(got, want)[:8000].sum(), want[:8000].sum(), "groups", got[8000:].sum(), want[8000:].sum())
+    for part in (slice(0, 8000), slice(8000, None)):
+        assert (got[part] <= want[part]).all() and got[part].sum() >= 0.99 * want[part].sum()
+
+
 # Quality
 
 
