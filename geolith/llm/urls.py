@@ -62,28 +62,22 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     keys = ["key", "_type", "page_id", "path"]
     laid = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
     laid = laid.withColumns({"_pid": F.spark_partition_id(), "_idx": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-    laid = written(laid, "keys", **{"parquet.block.size": str(1 << 30)})  # one row group: a file is read by one task, in order
+    laid = written(laid, "keys")
 
-    # The rules that are open where a partition begins are prefixes of its first key: at most one per character.
+    # The rules that are open where a partition begins are prefixes of its first key: at most one per character. They go first in it.
     first = laid.groupBy("_pid").agg(F.min("key").alias("_first"))
     lengths = F.sequence(F.lit(1), F.length("_first"))
     begins = first.where(F.length("_first") > 0).select("_pid", F.explode(F.transform(lengths, lambda n: F.substring(F.col("_first"), F.lit(1), n))).alias("_prefix"))
-    carried: dict[int, list[tuple]] = {}
-    for r in begins.join(known, F.col("_prefix") == F.col("key")).select("_pid", "key", "rule", "verdict").collect():
-        carried.setdefault(r[0], []).append(tuple(r)[1:])
-    for stack in carried.values():
-        stack.sort(key=lambda r: len(r[0]))
+    carried = begins.join(known, F.col("_prefix") == F.col("key")).select("_pid", (F.length("key") - (1 << 32)).cast("long").alias("_idx"), "key", F.lit(0).alias("_type"), "rule", "verdict")
+    laid = laid.unionByName(carried, allowMissingColumns=True).repartition("_pid").sortWithinPartitions("_pid", "_idx")
 
     def sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pid, stack, due = None, [], 0
+        pid, stack = None, []
         for frame in frames:
             got = []
-            for at, idx, key, kind, rule, verdict in zip(*(frame[c] for c in ("_pid", "_idx", "key", "_type", "rule", "verdict"))):
+            for at, key, kind, rule, verdict in zip(*(frame[c] for c in ("_pid", "key", "_type", "rule", "verdict"))):
                 if at != pid:
-                    pid, stack, due = at, list(carried.get(at, ())), 0
-                if idx != due:
-                    raise ValueError("a partition of sorted keys was read out of order")
-                due += 1
+                    pid, stack = at, []
                 while stack and not key.startswith(stack[-1][0]):
                     stack.pop()
                 if kind == 0 and not (stack and stack[-1][0] == key):
@@ -93,7 +87,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
             out["rule"], out["verdict"] = [g[0] for g in got], [g[1] for g in got]
             yield out[frame["_type"] == 1]
 
-    laid = laid.select(F.col("page_id").cast("string").alias("page_id"), "host", "path", "_k", "key", "_type", "rule", "verdict", "_pid", "_idx")
+    laid = laid.select(F.col("page_id").cast("string").alias("page_id"), "host", "path", "_k", "key", "_type", "rule", "verdict", "_pid")
     swept = laid.mapInPandas(sweep, "page_id string, host string, path string, _k int, rule string, verdict string")
     best = F.max(F.when(F.col("rule").isNotNull(), F.struct("_k", "rule", "verdict"))).alias("_best")
     out = swept.groupBy("page_id", "host", "path").agg(best, F.count_if(F.col("_k") == 0).alias("_n"))
