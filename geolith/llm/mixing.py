@@ -6,7 +6,8 @@ its source so far) / (weight of the source). All services are sorted globally by
 finish time and cut where the words reach the total budget. At the cut every
 queue that is not exhausted has had words in proportion to its weight, and what
 exhausted queues leave goes to the others by weight: the water level. As whole
-documents are served, no service may end beyond its source's level.
+documents are served, no service may end beyond its source's level, and what a
+source then lacks is filled with services that still fit.
 """
 
 from __future__ import annotations
@@ -46,18 +47,19 @@ def source_targets(sized: DataFrame, weights: Sequence[float], repeats: int, sha
 
 
 def mix(
-    docs: DataFrame, weights: Sequence[float] = (1, 2, 3), repeats: int = 3, share: float = 1.0, seed: int = 17, refills: int = 2, carry: Sequence[Column] = ()
+    docs: DataFrame, weights: Sequence[float] = (1, 2, 3), repeats: int = 3, share: float = 1.0, seed: int = 17, carry: Sequence[Column] = ()
 ) -> DataFrame:
     """One row per document: ``doc_id, source, size, source_size, target, times, taken``.
 
     ``times`` is how often the mix takes the document (0 to ``repeats``) and
     ``taken`` = size x times. Whole documents are taken, so at the cut a source
-    lacks less than its next document; ``refills`` further rounds serve the
-    following documents that still fit in what a source lacks.
+    lacks less than its next document. What it lacks is then filled from its other
+    services, the longest that fits first, until none is left that fits.
 
     Null text and text without words have size 0, and such documents are never
-    taken. ``carry`` adds columns of narrow values to the result. A null source is a source of its own, last in order. Rows that share a
-    doc_id are documents of their own. An empty table gives an empty result. Only
+    taken. ``carry`` adds columns of narrow values to the result. A null source is
+    a source of its own, last in order. Rows that share a doc_id are documents of
+    their own. An empty table gives an empty result. Only
     doc_id, text and source are read; other columns cannot clash.
     """
     source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
@@ -86,15 +88,7 @@ def mix(
     served = F.col("_pass") * F.col("source_size") + F.col("_cum")
     events = events.withColumn("_on", taken & (served <= F.col("target") + 1e-6))
 
-    for _ in range(refills):
-        got = written(events.where("_on").groupBy("sid").agg(F.sum("size").alias("_got")).withColumnRenamed("sid", "_sid"), "got")
-        lacking = events.where(~F.col("_on") & (F.col("size") > 0)).join(got, F.col("sid") == F.col("_sid"), "left")
-        lacking = lacking.withColumn("_lack", F.col("target") - F.coalesce("_got", F.lit(0))).where("size <= _lack")
-        lacking = lacking.withColumn("_slot", F.col("_pass") * (1 << bits) + F.col("_bucket"))
-        fits = running_sum(lacking, "sid", "_slot", ["_h", "_uid"], "size", "_more").where("_more <= _lack")
-        fits = written(fits.select(F.col("_uid").alias("_u"), F.col("_pass").alias("_p"), F.lit(True).alias("_fit")), "fits")
-        events = events.join(fits, (F.col("_uid") == F.col("_u")) & (F.col("_pass") == F.col("_p")), "left")
-        events = written(events.withColumn("_on", F.col("_on") | F.coalesce("_fit", F.lit(False))).drop("_u", "_p", "_fit"), "served")
+    events = written(_filled(events, bits), "served")
 
     times = F.sum(F.when(F.col("_on") & (F.col("size") > 0), 1).otherwise(0)).alias("times")
     out = events.groupBy("_uid", "doc_id", "source", "size", "source_size", "target", "_carry").agg(times)
@@ -102,6 +96,36 @@ def mix(
     return out.select("doc_id", "source", "size", "source_size", "target", "times", "taken", *(f"_carry.{n}" for n in out.schema["_carry"].dataType.names[1:]))
 
 
+def _filled(events: DataFrame, bits: int) -> DataFrame:
+    """``events`` with more of them ``_on``: per source the longest services that fit in what its target lacks.
+
+    How many of each size is decided on counts by size, of which a source has at
+    most as many as words that it lacks, and it lacks less than one document.
+    """
+    got = written(events.where("_on").groupBy("sid").agg(F.sum("size").alias("_got")).withColumnRenamed("sid", "_sid"), "got")
+    fitting = events.where(~F.col("_on") & (F.col("size") > 0)).join(got, F.col("sid") == F.col("_sid"), "left")
+    fitting = fitting.withColumn("_lack", F.floor(F.col("target") - F.coalesce("_got", F.lit(0)) + 1e-6)).where("size <= _lack").drop("_sid", "_got")
+    sizes = fitting.groupBy("sid", "size").agg(F.count("*").alias("n"), F.first("_lack").alias("_lack"))
+    falling = F.reverse(F.array_sort(F.collect_list(F.struct("size", "n"))))
+    taken = F.aggregate(
+        "_sizes",
+        F.struct(F.col("_lack").cast("long").alias("lack"), F.array().cast("array<struct<size: bigint, quota: bigint>>").alias("out")),
+        lambda a, x: F.struct(
+            (a["lack"] - F.least(x["n"], F.floor(a["lack"] / x["size"])) * x["size"]).alias("lack"),
+            F.concat(a["out"], F.array(F.struct(x["size"].alias("size"), F.least(x["n"], F.floor(a["lack"] / x["size"])).alias("quota")))).alias("out"),
+        ),
+        lambda a: a["out"],
+    )
+    quotas = sizes.groupBy("sid").agg(F.first("_lack").alias("_lack"), falling.alias("_sizes")).select(F.col("sid").alias("_s"), F.inline(taken))
+    quotas = written(quotas.where("quota > 0").select("_s", F.col("size").alias("_z"), "quota"), "quotas")
+    chosen = fitting.join(quotas, (F.col("sid") == F.col("_s")) & (F.col("size") == F.col("_z"))).select("sid", "size", "_pass", "_bucket", "_h", "_uid", "quota")
+    chosen = chosen.withColumns({"_kind": F.struct("sid", "size"), "_slot": F.col("_pass") * (1 << bits) + F.col("_bucket"), "_one": F.lit(1)})
+    chosen = running_sum(chosen, "_kind", "_slot", ["_h", "_uid"], "_one", "_nth").where("_nth <= quota")
+    chosen = written(chosen.select(F.col("_uid").alias("_u"), F.col("_pass").alias("_p"), F.lit(True).alias("_fit")), "fits")
+    events = events.join(chosen, (F.col("_uid") == F.col("_u")) & (F.col("_pass") == F.col("_p")), "left")
+    return events.withColumn("_on", F.col("_on") | F.coalesce("_fit", F.lit(False))).drop("_u", "_p", "_fit")
+
+
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "times")
