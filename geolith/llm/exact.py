@@ -18,11 +18,17 @@ def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+def _best() -> Column:
+    """Which row of a group stays: the most code points, then the least doc_id (null last), then the least md5 of the text."""
+    return F.min(F.struct(-F.col("_len"), F.col("doc_id").isNull().alias("no"), "doc_id", "_md5", F.col("_u").alias("u"))).alias("_best")
+
+
 def dedup(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
+    """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256, text_md5``.
 
     Texts are equal when they are identical without their blanks. Of equal texts
-    the row with the most code points stays, then the smallest doc_id (null first).
+    the row with the most code points stays, then the smallest doc_id (null last),
+    then the least md5; of rows that are alike in all this, one.
 
     Only a narrow table (id, hash, digest, length) is shuffled for the grouping.
     Texts are read again just for documents that share a hash, and compared by
@@ -31,54 +37,48 @@ def dedup(docs: DataFrame) -> DataFrame:
     documents are grouped by the text itself.
 
     Null text counts as empty, so all empty texts are one group. Rows that repeat
-    a doc_id count each; if the row that stays is repeated, each repetition has
-    ``kept`` true. Other columns are not read.
+    a doc_id count each, and exactly one row of a group has ``kept``. An empty
+    table gives an empty result. Other columns are not read.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
     n = normalised(F.col("text"))
-    slim = docs.select("doc_id", content_hash(n).alias("_h"), F.unhex(F.sha2(n, 256)).alias("_sha"), F.char_length(t).alias("_len"))
+    slim = docs.select("doc_id", content_hash(n).alias("_h"), F.unhex(F.sha2(n, 256)).alias("_sha"), F.char_length(t).alias("_len"), F.unhex(F.md5(t)).alias("_md5"), F.monotonically_increasing_id().alias("_u"))
     slim = written(slim, "hashes")
-    pick = F.min(F.struct(-F.col("_len"), F.col("doc_id"))).alias("_best")
-    groups = slim.groupBy("_h").agg(F.count("*").alias("_n"), pick).where("_n > 1")
-    groups = written(groups.select(F.col("_h").alias("_k"), F.col("_best.doc_id").alias("_keep"), "_n"), "groups")
+    groups = slim.groupBy("_h").agg(F.count("*").alias("_n"), _best()).where("_n > 1")
+    groups = written(groups.select(F.col("_h").alias("_k"), F.col("_best.doc_id").alias("_keep"), F.col("_best.u").alias("_at"), "_n"), "groups")
 
     members = slim.join(groups, F.col("_h") == F.col("_k"), "left_semi").select(F.col("doc_id").alias("_d")).distinct()
     members = written(members, "members")
     texts = docs.select("doc_id", F.col("text")).join(members, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
-    texts = texts.select("doc_id", normalised(F.col("text")).alias("_t"), F.char_length(t).alias("_len"))
+    texts = texts.select("doc_id", normalised(F.col("text")).alias("_t"), F.char_length(t).alias("_len"), F.unhex(F.md5(t)).alias("_md5"))
     texts = texts.withColumn("_h", content_hash(F.col("_t")))
     clash = texts.groupBy("_h").agg(F.min("_t").alias("_a"), F.max("_t").alias("_z")).where("_a <> _z").select(F.col("_h").alias("_c"))
     clash = written(clash, "collisions")
     if clash.isEmpty():
-        out = slim.join(groups, F.col("_h") == F.col("_k"), "left")
-        keep = F.when(F.col("_k").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
-        return _shaped(out, keep, F.coalesce("_n", F.lit(1)))
-    return _with_collisions(slim, groups, texts, clash)
-
-
-def _with_collisions(slim: DataFrame, groups: DataFrame, texts: DataFrame, clash: DataFrame) -> DataFrame:
+        return _shaped(slim.join(groups, F.col("_h") == F.col("_k"), "left"))
     plain = slim.join(clash, F.col("_h") == F.col("_c"), "left_anti").join(groups, F.col("_h") == F.col("_k"), "left")
-    keep = F.when(F.col("_k").isNull(), F.col("doc_id")).otherwise(F.col("_keep"))
-    out = _shaped(plain, keep, F.coalesce("_n", F.lit(1)))
     rows = texts.join(clash, F.col("_h") == F.col("_c"), "left_semi")
-    rows = rows.withColumn("_sha", F.unhex(F.sha2("_t", 256)))
-    own = rows.groupBy("_t").agg(F.count("*").alias("_n"), F.min(F.struct(-F.col("_len"), F.col("doc_id"))).alias("_best"))
-    own = written(own.select(F.col("_t").alias("_k"), "_n", F.col("_best.doc_id").alias("_keep")), "collided")
-    return out.unionByName(_shaped(rows.join(own, F.col("_t") == F.col("_k")), F.col("_keep"), F.col("_n")))
+    rows = written(rows.withColumns({"_sha": F.unhex(F.sha2("_t", 256)), "_u": F.monotonically_increasing_id()}), "collided")
+    own = rows.groupBy("_t").agg(F.count("*").alias("_n"), _best())
+    own = written(own.select(F.col("_t").alias("_k"), F.col("_best.doc_id").alias("_keep"), F.col("_best.u").alias("_at"), "_n"), "regrouped")
+    return _shaped(plain).unionByName(_shaped(rows.join(own, F.col("_t") == F.col("_k"))))
 
 
-def _shaped(rows: DataFrame, keep: Column, n: Column) -> DataFrame:
+def _shaped(rows: DataFrame) -> DataFrame:
+    """Rows with their group's ``_n, _keep, _at`` beside them, or null in these if they have no equal."""
+    alone = F.col("_n").isNull()
     return rows.select(
         "doc_id",
-        keep.alias("keep_id"),
-        n.cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("_keep")).alias("keep_id"),
+        F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
+        (alone | (F.col("_u") == F.col("_at"))).alias("kept"),
         F.lower(F.hex("_sha")).alias("text_sha256"),
+        F.lower(F.hex("_md5")).alias("text_md5"),
     )
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_md5")
 
 
 OP3_SQL = r"""
@@ -86,6 +86,6 @@ WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents
 ), s AS (SELECT doc_id, length(t) AS len, sha256(n) AS text_sha256 FROM d)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
-       first_value(doc_id) OVER w IS NOT DISTINCT FROM doc_id AS kept, text_sha256
+       row_number() OVER w = 1 AS kept, text_sha256
 FROM s WINDOW w AS (PARTITION BY text_sha256 ORDER BY len DESC, doc_id)
 """
