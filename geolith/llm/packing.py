@@ -13,14 +13,15 @@ rank within their length.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolith.llm.bpe import encoder
-from geolith.llm.common import numbered, written
+from geolith.llm.common import CHUNKED, let_go, numbered, small_batches, written
 from geolith.llm.tokens import END, vocabulary_path
 
 CAPACITY = 1024
@@ -119,41 +120,55 @@ def places(plan: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[int,
     return {n: tuple(np.array(c, np.int64) for c in zip(*rows)) for n, rows in out.items()}
 
 
-def cut(n: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of a document of ``n`` ids: only the first may be shorter than the capacity."""
-    if n <= capacity:
-        return [(0, n)]
-    head = n % capacity
-    return ([(0, head)] if head else []) + [(s, capacity) for s in range(head, n, capacity)]
+def pieces_of(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, ...]:
+    """Document, number, start and length of the pieces of documents with so many ids: only a first piece may be shorter than the capacity."""
+    pieces = -(-counts // capacity)
+    owner = np.repeat(np.arange(len(counts)), pieces)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    head = (counts - 1) % capacity + 1
+    start = np.where(number > 0, head[owner] + (number - 1) * capacity, 0)
+    length = np.where(number > 0, capacity, head[owner])
+    return owner, number.astype(np.int32), start, length
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """One row per piece: ``doc_id, piece, start, length, ids, sequence_id, offset``.
+def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end: int = END, ids: bool = True) -> DataFrame:
+    """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` and, if wanted, ``ids``.
 
     ``ids`` is binary, little-endian unsigned, of two bytes an id where the
-    vocabulary has at most 65,536 ids, else four (``id_bytes``).
+    vocabulary has at most 65,536 ids, else four; ``ids_crc32`` is of the ids as
+    unsigned 32-bit integers, whatever their width. Only narrow rows are sorted for
+    the places; the ids stay in the table that the texts were encoded to, and join
+    the places at the end.
 
     Null and empty texts are the end id alone. Rows that repeat a doc_id are
     documents of their own, also those with a null doc_id. An empty table gives
-    an empty result.
+    an empty result. Columns besides doc_id and text are not read.
     """
     path = vocabulary or vocabulary_path()
 
-    def tokenise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = encoder(path)
-        for frame in frames:
-            rows = []
-            for d, x in zip(frame["doc_id"], tok.encode(frame["text"].tolist())):
-                x = np.append(x, np.array([end], tok.dtype))
-                for k, (s, n) in enumerate(cut(len(x), capacity)):
-                    rows.append((d, k, s, n, x[s : s + n].tobytes(), tok.dtype.itemsize))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids", "id_bytes"])
-
-    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    pieces = texts.mapInPandas(tokenise, "doc_id string, piece int, start long, length long, ids binary, id_bytes int")
-    keys = ["length", "doc_id", "piece"]
-    pieces = written(pieces.withColumn("doc_id", F.col("doc_id").cast("long")), "encoded")  # the range sort samples its input
-    table, offsets = numbered(pieces, keys, "pieces")
+        for batch in batches:
+            for lo, hi, flat, counts in tok.batches(batch.column("text"), end):
+                owner, piece, start, length = pieces_of(counts, capacity)
+                at = np.concatenate([[0], np.cumsum(length)])
+                data, wide = flat.tobytes(), flat.astype("<u4").tobytes()
+                w = flat.dtype.itemsize
+                crc = [crc32(wide[4 * a : 4 * b]) for a, b in zip(at.tolist(), at[1:].tolist())]
+                owner = pa.array(lo + owner)
+                columns = [batch.column("uid").take(owner), batch.column("doc_id").take(owner), pa.array(piece), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                if ids:
+                    columns.append(pa.array([data[w * a : w * b] for a, b in zip(at.tolist(), at[1:].tolist())], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+        let_go()
+
+    shape = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if ids else "")
+    names = [f.split()[0] for f in shape.split(", ")]
+    texts = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with small_batches(docs.sparkSession, CHUNKED):
+        encoded = written(texts.mapInArrow(tokenise, shape), "encoded")  # the range sort samples its input
+    narrow = [n for n in names if n != "ids"]
+    table, offsets = numbered(encoded.select(*narrow), ["length", "doc_id", "piece", "uid"], "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for n, k in table.groupBy("length").count().collect():  # at most `capacity` rows
         counts[n] = k
@@ -161,35 +176,25 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     below = np.concatenate([[0], np.cumsum(counts)])  # below[n]: pieces shorter than n
     first = np.array(offsets, np.int64)
 
-    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            n = frame["length"].to_numpy()
-            rank = first[frame["_pid"].to_numpy()] + frame["_idx"].to_numpy() - below[n]
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pid, idx, n = (batch.column(c).to_numpy() for c in ("_pid", "_idx", "length"))
+            rank = first[pid] + idx - below[n]
             sequence, offset = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
             for length in np.unique(n):
                 on = n == length
                 begin, seq, off = where[int(length)]
                 at = np.searchsorted(begin, rank[on], side="right") - 1
                 sequence[on], offset[on] = seq[at] + rank[on] - begin[at], off[at]
-            yield frame.drop(columns=["_pid", "_idx"]).assign(sequence_id=sequence, offset=offset)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in narrow), pa.array(sequence), pa.array(offset)], names=[*narrow, "sequence_id", "offset"])
 
-    table = table.withColumn("doc_id", F.col("doc_id").cast("string"))
-    shape = "doc_id string, piece int, start long, length long, ids binary, id_bytes int, sequence_id long, offset long"
-    return table.mapInPandas(put, shape).withColumn("doc_id", F.col("doc_id").cast("long"))
-
-
-def ids_crc32(ids, id_bytes) -> "F.Column":
-    """crc32 of the ids as little-endian unsigned 32-bit integers."""
-    from zlib import crc32
-
-    @F.pandas_udf("long")
-    def crc(values: pd.Series, size: pd.Series) -> pd.Series:
-        return pd.Series([crc32(np.frombuffer(v, f"<u{b}").astype("<u4").tobytes()) for v, b in zip(values, size)], dtype="int64")
-
-    return crc(ids, id_bytes)
+    placed = table.mapInArrow(put, "uid long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    out = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    if not ids:
+        return placed.select(*out)
+    content = encoded.select(F.col("uid").alias("_u"), F.col("piece").alias("_p"), "ids")
+    return placed.join(content, (F.col("uid") == F.col("_u")) & (F.col("piece") == F.col("_p"))).select(*out, "ids")
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
-    packed = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    crc = ids_crc32(F.col("ids"), F.col("id_bytes")).alias("ids_crc32")
-    return packed.select("doc_id", "piece", "start", "length", crc, "sequence_id", "offset")
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), ids=False)
