@@ -15,11 +15,12 @@ from __future__ import annotations
 from math import exp, factorial, log
 
 import numpy as np
-import xxhash
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Rank cells of less than a unit: all darts of most long documents lie here.
 _EDGES = np.array([0, *(2.0**-i for i in range(6, -1, -1))])
+#: Elements that throw their darts together.
+TOGETHER = 1 << 17
 _MOST = 18  # a cell of area 1 holds more darts with probability 1e-16
 
 
@@ -56,16 +57,19 @@ def signatures(elements: np.ndarray, weights: np.ndarray | None, owner: np.ndarr
     total = np.bincount(owner, share, docs)
     t = k * log(k) + 2 * k
     limit = np.divide(t, total, out=np.zeros(docs), where=total > 0)
-    todo = total > 0
+    todo, best = total > 0, np.full(docs * k, np.inf)
     while todo.any():
-        on = todo[owner]
-        _throw(base[on], share[on], owner[on], limit, k, out)
+        on = np.flatnonzero(todo[owner])
+        for lo in range(0, len(on), TOGETHER):
+            some = on[lo : lo + TOGETHER]
+            _throw(base[some], share[some], owner[some], limit, k, out, best)
         todo &= (out == 0).any(axis=1)
         limit = np.where(todo, limit * 2, limit)
     return out
 
 
-def _throw(base: np.ndarray, share: np.ndarray, owner: np.ndarray, limit: np.ndarray, k: int, out: np.ndarray) -> None:
+def _throw(base: np.ndarray, share: np.ndarray, owner: np.ndarray, limit: np.ndarray, k: int, out: np.ndarray, best: np.ndarray) -> None:
+    """Darts below a document's limit into ``out``, where their rank is less than ``best``."""
     most = limit[owner]
     found = []
     for c in range(len(_EDGES) - 1):
@@ -81,6 +85,8 @@ def _throw(base: np.ndarray, share: np.ndarray, owner: np.ndarray, limit: np.nda
     dart, rank, at = dart[inside], rank[inside], owner[at[inside]]
     slot = at * k + (mix(dart ^ _M1) % np.uint64(k)).astype(np.int64)
     order = np.argsort(-rank, kind="stable")
+    order = order[rank[order] < best[slot[order]]]
+    best[slot[order]] = rank[order]
     out.reshape(-1)[slot[order]] = dart[order] | np.uint64(1)  # of several, the last stays: the least rank
 
 
@@ -116,24 +122,55 @@ def planes(sig: np.ndarray, bits: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _powers(n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _M1)]), dtype=np.uint64)
+
+
+#: Stands for a byte in a word's hash; the inverse of _M1 modulo 2**64.
+_BYTES, _INVERSE = mix(np.arange(1, 257).astype(np.uint64) * _STEP), np.uint64(pow(int(_M1), -1, 1 << 64))
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+
+
+def word_hashes(data: np.ndarray, owner_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts that stand in a row as bytes, and how many each has; a word is a run of bytes without ASCII blanks.
+
+    A word's hash is the sum of its bytes' random values times rising powers,
+    taken as a difference of running sums.
+    """
+    inside = ~_SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[owner_ends] = True
+    before = np.concatenate([[False], inside[:-1]]) & ~edge[:-1] if len(data) else inside
+    start = np.flatnonzero(inside & ~before)
+    after = np.concatenate([inside[1:], [False]]) & ~edge[1:] if len(data) else inside
+    stop = np.flatnonzero(inside & ~after) + 1
+    with np.errstate(over="ignore"):
+        up = _powers(len(data))[: len(data)]
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(np.where(inside, _BYTES[data] * up, np.uint64(0)), dtype=np.uint64)])
+        down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), _INVERSE)]), dtype=np.uint64)
+        found = mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+    counts = np.diff(np.searchsorted(start, np.concatenate([[0], owner_ends])))
+    return found, counts
+
+
 class Shingler:
-    """Hashes of runs of words; a word is a run of bytes without ASCII blanks."""
+    """Hashes of runs of words."""
 
-    def __init__(self, size: int, most: int = 300_000) -> None:
-        self.size, self.most, self.known = size, most, {}
+    def __init__(self, size: int) -> None:
+        self.size = size
         self.by_place = mix(np.arange(1, size + 1).astype(np.uint64) * _STEP) | np.uint64(1)
 
-    def words(self, text: str | None) -> np.ndarray:
-        known, found = self.known, (text or "").encode("utf-8", "surrogatepass").split()
-        try:
-            return np.array([known[w] for w in found], np.uint64)
-        except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            for w in found:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            return np.array([known[w] for w in found], np.uint64)
+    def words(self, texts) -> list[np.ndarray]:
+        """The hashes of the words of each text of an Arrow array of strings without nulls."""
+        import pyarrow as pa
+
+        texts = texts.cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        found, counts = word_hashes(data, offsets[1:] - offsets[0])
+        return np.split(found, np.cumsum(counts)[:-1]) if len(counts) else []
 
     def shingles(self, words: np.ndarray) -> np.ndarray:
         """Of every run of ``size`` words; fewer words are one shingle, none are none. With repetitions."""
