@@ -15,17 +15,15 @@ The decoder looks the four lengths of a control byte up in a 256-row table.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geolith.llm.bpe import encoder
-from geolith.llm.common import at, before, scratch_path
+from geolith.llm.common import CHUNKED, at, before, let_go, scratch_path, small_batches
 
 END = 2
 #: Ranks after which a block is closed.
@@ -34,7 +32,7 @@ BLOCK = 1 << 19
 BLOCK_SCHEMA = "first_doc long, n_docs int, n_tokens long, doc_ids array<bigint>, lengths array<int>, `table` binary, control binary, data binary"
 
 #: For each control byte the lengths of its four values.
-LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.int64) + 1
+LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)
 
 
 def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -45,39 +43,41 @@ def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     code[: len(v)] = size - 1
     quads = code.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    start = np.cumsum(size, dtype=np.int64) - size
+    data = np.empty(int(size.sum(dtype=np.int64)), np.uint8)
+    data[start] = v.astype(np.uint8)
+    for k in range(1, int(size.max(initial=1))):
+        on = np.flatnonzero(size > k)
+        data[start[on] + k] = (v[on] >> np.uint32(8 * k)).astype(np.uint8)
     return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
 def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` values that ``pack_ranks`` coded."""
-    sizes = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    start = np.cumsum(sizes) - sizes
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
-    out = np.zeros(n, np.uint32)
-    for k in range(4):
-        on = sizes > k
+    size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
+    start = np.cumsum(size, dtype=np.int64) - size
+    raw = np.frombuffer(data, np.uint8)
+    out = raw[start].astype(np.uint32)
+    for k in range(1, int(size.max(initial=1))):
+        on = np.flatnonzero(size > k)
         out[on] |= raw[start[on] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
-def encode_block(doc_ids: list[int | None], ids: list[np.ndarray]) -> tuple:
-    """One block, as a row of BLOCK_SCHEMA."""
-    lengths = [len(x) for x in ids]
-    flat = np.concatenate(ids).astype(np.uint32) if ids else np.empty(0, np.uint32)
-    values, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    by_use = np.lexsort((values, -counts))
-    rank = np.empty(len(values), np.uint32)
-    rank[by_use] = np.arange(len(values), dtype=np.uint32)
-    control, data = pack_ranks(rank[inverse])
-    return doc_ids[0], len(ids), len(flat), doc_ids, lengths, values[by_use].astype("<u4").tobytes(), control, data
+def encode_block(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> tuple:
+    """One block of documents, whose ids stand in a row, as a row of BLOCK_SCHEMA."""
+    counts = np.bincount(ids)
+    values = np.flatnonzero(counts)
+    values = values[np.lexsort((values, -counts[values]))]
+    rank = np.empty(len(counts), np.uint32)
+    rank[values] = np.arange(len(values), dtype=np.uint32)
+    control, data = pack_ranks(rank[ids])
+    return doc_ids[0], len(lengths), len(ids), doc_ids, lengths.tolist(), values.astype("<u4").tobytes(), control, data
 
 
-def decode_block(row) -> list[np.ndarray]:
-    """The ids of each document of a block, unsigned 32 bits."""
-    ranks = unpack_ranks(row.control, row.data, int(row.n_tokens))
-    ids = np.frombuffer(row.table, "<u4")[ranks] if len(ranks) else ranks
-    return np.split(ids, np.cumsum(row.lengths)[:-1]) if len(row.lengths) else []
+def decode_block(table: bytes, control: bytes, data: bytes, n: int) -> np.ndarray:
+    """The ids of a block's documents in a row, unsigned 32 bits."""
+    return np.frombuffer(table, "<u4")[unpack_ranks(control, data, n)]
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = END) -> None:
@@ -87,36 +87,40 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = END) ->
     texts, not ids. A task holds one block of about BLOCK ids, or one longer document.
     """
 
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok, names = encoder(vocabulary), [f.split()[0].strip("`") for f in BLOCK_SCHEMA.split(", ")]
-        ids, held, n, out = [], [], 0, []
-
-        def close() -> None:
-            nonlocal ids, held, n
-            out.append(encode_block(ids, held))
-            ids, held, n = [], [], 0
-
-        tail = np.array([end], np.uint32)
-        for frame in frames:
-            for d, x in zip(frame["doc_id"], tok.encode(frame["text"].tolist())):
-                ids.append(None if pd.isna(d) else int(d))
-                held.append(np.concatenate([x, tail]))
-                n += len(x) + 1
-                if n >= BLOCK:
-                    close()
-            if out:
-                yield pd.DataFrame(out, columns=names)
-                out.clear()
-        if ids:
-            close()
-            yield pd.DataFrame(out, columns=names)
+    schema = pa.schema([("first_doc", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), *((n, pa.binary()) for n in ("table", "control", "data"))])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = encoder(vocabulary)
+        names, lengths, flats, n = [], [], [], 0
+
+        def block() -> pa.RecordBatch:
+            row = encode_block([x for part in names for x in part], np.concatenate(lengths), np.concatenate(flats))
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
+
+        for batch in batches:
+            for lo, hi, ids, counts in tok.batches(batch.column("text"), end):
+                docs_in, begin = batch.column("doc_id").slice(lo, hi - lo).to_pylist(), 0
+                ends = np.cumsum(counts)
+                while begin < len(counts):  # up to the document with which the block is full
+                    done = int(ends[begin - 1]) if begin else 0
+                    upto = min(len(counts), int(np.searchsorted(ends, done + max(1, BLOCK - n))) + 1)
+                    names.append(docs_in[begin:upto])
+                    lengths.append(counts[begin:upto])
+                    flats.append(ids[done : ends[upto - 1]])
+                    n, begin = n + len(flats[-1]), upto
+                    if n >= BLOCK:
+                        yield block()
+                        names, lengths, flats, n = [], [], [], 0
+        if names:
+            yield block()
+        let_go()
 
     key = F.col("doc_id").cast("long")
     laid = docs.select(key.alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    laid = laid.select(F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.col("doc_id").cast("string")).alias("doc_id"), "text")
-    blocks = laid.mapInPandas(encode, BLOCK_SCHEMA)
+    blocks = laid.mapInArrow(encode, BLOCK_SCHEMA)
     blocks = blocks.withColumns({"part": F.spark_partition_id(), "block": F.monotonically_increasing_id()})
-    blocks.write.option("compression", "zstd").parquet(path)
+    with small_batches(docs.sparkSession, CHUNKED):
+        blocks.write.option("compression", "zstd").parquet(path)
 
 
 def read_tokens(spark, path: str) -> DataFrame:
@@ -133,19 +137,15 @@ def read_tokens(spark, path: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = {name: k for k, name in enumerate(batch.schema.names)}
             for k in range(batch.num_rows):
-                row = pd.Series({n: batch.column(n)[k].as_py() for n in batch.schema.names})
-                each = decode_block(row)
-                n = np.array(row.lengths, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row.doc_ids, pa.int64()),
-                        pa.array(row.start + np.cumsum(n) - n, pa.int64()),
-                        pa.array(n, pa.int64()),
-                        pa.array([x.astype("<u4").tobytes() for x in each], pa.binary()),
-                    ],
-                    names=["doc_id", "start", "n_tokens", "ids"],
-                )
+                cell = lambda name: batch.column(at[name])[k]
+                ids = decode_block(*(cell(n).as_py() for n in ("table", "control", "data", "n_tokens")))
+                n = np.asarray(cell("lengths").values).astype(np.int64)
+                ends = np.concatenate([[0], np.cumsum(n)])
+                content = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([cell("doc_ids").values, pa.array(cell("start").as_py() + ends[:-1]), pa.array(n), content], names=["doc_id", "start", "n_tokens", "ids"])
+        let_go()
 
     return rows.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
 
