@@ -18,14 +18,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geolith.llm.common import written
+from geolith.llm.bpe import slices
+from geolith.llm.common import TEXTS, let_go, small_batches, written
 
 BUCKETS, WIDTH, NONZERO, WINDOW = 8192, 32, 4, 2
 #: Tokens whose pairs are counted together; a longer text is counted alone.
 BLOCK = 1 << 18
+#: Bytes of text that are scored together.
+TOGETHER = 1 << 20
 #: Labelled rows that the network learns from, at most; the choice goes by a hash of doc_id.
 LABELLED = 20_000
 THRESHOLD = 0.3
@@ -35,10 +39,14 @@ TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
 class Tokens:
-    """Bucket numbers of a text's tokens, by hash."""
+    """Bucket numbers of a text's tokens, by hash; those of up to ``most`` tokens of usual length are remembered."""
 
-    def __init__(self, most: int = 300_000) -> None:
-        self.most, self.known = most, {}
+    def __init__(self, most: int = 200_000, length: int = 40) -> None:
+        self.most, self.length, self.known = most, length, {}
+        self.numbers = list(range(BUCKETS))
+
+    def forget(self) -> None:
+        self.known.clear()
 
     def ids(self, text: str | None) -> np.ndarray:
         found, known = TOKEN.findall(text or ""), self.known
@@ -49,10 +57,11 @@ class Tokens:
 
             if len(known) > self.most:
                 known.clear()
+            long = {}
             for t in found:
-                if t not in known:
-                    known[t] = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) % BUCKETS
-            return np.array([known[t] for t in found], np.int64)
+                if t not in known and t not in long:
+                    (known if len(t) <= self.length else long)[t] = self.numbers[xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) % BUCKETS]
+            return np.array([known[t] if t in known else long[t] for t in found], np.int64)
 
 
 _tokens = Tokens()
@@ -98,12 +107,14 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                     add_contexts(total, held, index)
                     held, n = [], 0
         add_contexts(total, held, index)
+        let_go(_tokens)
         total = total.reshape(BUCKETS, WIDTH).astype(np.int64)
         some = np.flatnonzero(total.any(axis=1))
         yield pd.DataFrame(total[some], columns=names).assign(bucket=some)
 
     parts = docs.select("text").mapInPandas(gather, ", ".join(f"{n} long" for n in names) + ", bucket int")
-    rows = parts.groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).toArrow()  # at most BUCKETS rows
+    with small_batches(docs.sparkSession, TEXTS):
+        rows = parts.groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).toArrow()  # at most BUCKETS rows
     out = np.zeros((BUCKETS, WIDTH))
     if rows.num_rows:
         out[rows["bucket"].to_numpy()] = np.stack([rows[n].to_numpy() for n in names], axis=1)
@@ -194,8 +205,11 @@ class Quality:
     vectors: np.ndarray
     network: Network
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        return self.network.score(features(texts, self.vectors)) if texts else np.zeros(0)
+    def score(self, texts: pa.Array) -> np.ndarray:
+        """The scores of texts, of which a bounded part at a time is taken out of Arrow."""
+        sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+        parts = [features(texts.slice(lo, hi - lo).to_pylist(), self.vectors) for lo, hi in slices(sizes, TOGETHER)]
+        return self.network.score(np.concatenate(parts)) if parts else np.zeros(0)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = LABELLED) -> Quality:
@@ -212,8 +226,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", most
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"d": frame["_d"], "y": frame["_y"], "x": list(features(frame["text"].tolist(), vectors))})
+        let_go(_tokens)
 
-    got = rows.mapInPandas(each, "d long, y int, x array<double>").orderBy(F.xxhash64("d"), "d").limit(most).toArrow()
+    with small_batches(docs.sparkSession, TEXTS):
+        got = rows.mapInPandas(each, "d long, y int, x array<double>").orderBy(F.xxhash64("d"), "d").limit(most).toArrow()
     if not got.num_rows:
         return Quality(vectors, train(np.zeros((0, 2 * WIDTH + 3)), np.zeros(0), np.zeros(0, bool)))
     x = np.array(got["x"].combine_chunks().flatten(), float).reshape(got.num_rows, -1)
@@ -236,21 +252,28 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = pa.array(model.score(batch.column("text").to_pylist()), pa.float64())
+            score = pa.array(model.score(batch.column("text")), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), score], names=["doc_id", "score"])
+        let_go(_tokens)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = texts.mapInArrow(each, "doc_id long, score double")
+    with small_batches(docs.sparkSession, TEXTS):
+        scored = written(texts.mapInArrow(each, "doc_id long, score double"), "scores")
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = LABELLED) -> DataFrame:
-    """The rows of ``docs`` with a score of at least ``threshold``, all columns as they are."""
+    """The rows of ``docs`` with a score of at least ``threshold``, all columns as they are, whatever their names.
+
+    Nulls, empty texts, repeated rows and missing labels count as in ``quality_scores``.
+    """
     model = fit_quality(docs, labels, most=most)
+    at = docs.columns.index("text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(model.score(batch.column(batch.schema.get_field_index("text")).to_pylist()) >= threshold))
+            yield batch.filter(pa.array(model.score(batch.column(at).cast(pa.string())) >= threshold))
+        let_go(_tokens)
 
     return docs.mapInArrow(each, docs.schema)
 
