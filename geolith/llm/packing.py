@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolith.llm.bpe import encoder
-from geolith.llm.common import CHUNKED, let_go, numbered, small_batches, written
+from geolith.llm.common import TEXTS, let_go, numbered, small_batches, written
 from geolith.llm.tokens import END, vocabulary_path
 
 CAPACITY = 1024
@@ -165,7 +165,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     shape = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if ids else "")
     names = [f.split()[0] for f in shape.split(", ")]
     texts = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    with small_batches(docs.sparkSession, CHUNKED):
+    with small_batches(docs.sparkSession, TEXTS):
         encoded = written(texts.mapInArrow(tokenise, shape), "encoded")  # the range sort samples its input
     narrow = [n for n in names if n != "ids"]
     table, offsets = numbered(encoded.select(*narrow), ["length", "doc_id", "piece", "uid"], "pieces")
