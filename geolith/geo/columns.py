@@ -6,7 +6,8 @@ same layout at once; only what a box cannot decide is decoded row by row.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import struct
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,11 +38,13 @@ def _layout(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(data or b"", np.uint8), at[:-1], size
 
 
-def boxes(values: pa.Array) -> np.ndarray:
-    """Rows of xmin, ymin, xmax, ymax; NaN where the geometry is null or empty."""
+def _alike(values: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """Rows, their bytes as a matrix, where their coordinates begin and their SRID if they have one (0: none).
+
+    Points, lines and polygons of one ring, little-endian, in the first two dialects,
+    whose counts fit their length; rows of the same length and type at once.
+    """
     data, at, size = _layout(values)
-    out = np.full((len(at), 4), np.nan)
-    rest = size >= 0
     for n in np.unique(size):
         if n < 10:
             continue
@@ -49,30 +52,39 @@ def boxes(values: pa.Array) -> np.ndarray:
         for lo in range(0, len(rows), 1 << 16):
             part = rows[lo : lo + (1 << 16)]
             raw = data[at[part][:, None] + np.arange(n)]
-            head = raw[:, :6].copy().view(np.uint8)
-            same = (head[:, 0] <= 2) & (head[:, 0] >= 1) & (head[:, 1] == 1) & (head[:, 3] == 0) & (head[:, 4] == 0) & np.isin(head[:, 5], (0, 0x20))
+            same = (raw[:, 0] <= 2) & (raw[:, 0] >= 1) & (raw[:, 1] == 1) & (raw[:, 3] == 0) & (raw[:, 4] == 0)
             for kind in (1, 2, 3):
                 for flag in (0, 0x20):
-                    on = np.flatnonzero(same & (head[:, 2] == kind) & (head[:, 5] == flag))
+                    on = np.flatnonzero(same & (raw[:, 2] == kind) & (raw[:, 5] == flag))
                     skip = 6 + 4 * (flag == 0x20)
                     start = skip + (0, 0, 4, 8)[kind]
-                    if not len(on) or n <= start or (n - start) % 16:
-                        continue
                     points = (n - start) // 16
-                    if kind == 1 and points != 1:
+                    if not len(on) or n <= start or (n - start) % 16 or (kind == 1 and points != 1):
                         continue
                     if kind > 1:
-                        counts = raw[on, start - 4 : start].copy().view("<u4")[:, 0]
-                        good = counts == points
+                        good = raw[on, start - 4 : start].copy().view("<u4")[:, 0] == points
                         if kind == 3:
                             good &= raw[on, skip : skip + 4].copy().view("<u4")[:, 0] == 1
                         on = on[good]
-                    if not len(on):
-                        continue
-                    xy = raw[on, start:].copy().view("<f8").reshape(len(on), points, 2)
-                    with np.errstate(invalid="ignore"):
-                        out[part[on]] = np.concatenate([xy.min(axis=1), xy.max(axis=1)], axis=1)
-                    rest[part[on]] = False
+                    if len(on):
+                        yield part[on], raw[on], start, 6 if flag else 0
+
+
+def _xy(raw: np.ndarray, start: int) -> np.ndarray:
+    """The coordinates: rows, points, two."""
+    return raw[:, start:].copy().view("<f8").reshape(len(raw), -1, 2)
+
+
+def boxes(values: pa.Array) -> np.ndarray:
+    """Rows of xmin, ymin, xmax, ymax; NaN where the geometry is null or empty."""
+    values = _binary(values)
+    out = np.full((len(values), 4), np.nan)
+    rest = values.is_valid().to_numpy(zero_copy_only=False).copy()
+    for rows, raw, start, _ in _alike(values):
+        xy = _xy(raw, start)
+        with np.errstate(invalid="ignore"):
+            out[rows] = np.concatenate([xy.min(axis=1), xy.max(axis=1)], axis=1)
+        rest[rows] = False
     for k in np.flatnonzero(rest):
         box = decode(values[int(k)].as_py()).bounds()
         if box is not None:
@@ -80,6 +92,32 @@ def boxes(values: pa.Array) -> np.ndarray:
     return out
 
 
+def _rest(values: pa.Array, done: np.ndarray, out: list, f: Callable[[int, Geometry], object]) -> list:
+    """``out`` with ``f`` of the rows that aren't done and not null."""
+    for k in np.flatnonzero(~done & values.is_valid().to_numpy(zero_copy_only=False)).tolist():
+        out[k] = f(k, decode(values[k].as_py()))
+    return out
+
+
+def _moved(values: pa.Array, move: Callable[[np.ndarray, np.ndarray], np.ndarray], one: Callable[[int, Geometry], Geometry]) -> pa.Array:
+    """Geometries with their coordinates changed, without SRID: of rows alike at once by ``move(rows, xy)``, of others by ``one``."""
+    values = _binary(values)
+    out, done = [None] * len(values), np.zeros(len(values), bool)
+    for rows, raw, start, at in _alike(values):
+        xy = _xy(raw, start)
+        full = ~np.isnan(xy).any(axis=(1, 2))  # empty points are written in one way
+        rows, raw, xy = rows[full], raw[full], xy[full]
+        if not len(rows):
+            continue
+        new = np.ascontiguousarray(move(rows, xy), "<f8").reshape(len(rows), -1).view(np.uint8)
+        head = np.array([Dialect.EWKB, 1, raw[0, 2], 0, 0, 0], np.uint8)
+        counts = raw[:, at + 4 if at else 6 : start]
+        for k, r in zip(rows.tolist(), np.concatenate([np.broadcast_to(head, (len(rows), 6)), counts, new], axis=1)):
+            out[k] = r.tobytes()
+        done[rows] = True
+    return pa.array(_rest(values, done, out, lambda k, g: codec.encode(one(k, g))), pa.binary())
+
+
 def box_array(found: np.ndarray) -> pa.Array:
     none = np.isnan(found).any(axis=1)
     return pa.StructArray.from_arrays([pa.array(found[:, k]) for k in range(4)], fields=list(BOX), mask=pa.array(none))
@@ -102,11 +140,21 @@ def as_geojson(values: pa.Array) -> pa.Array:
 
 
 def geometry_type(values: pa.Array) -> pa.Array:
-    return _each(values, lambda g: "ST_" + NAMES[g.kind], pa.string())
+    values = _binary(values)
+    out, done = np.full(len(values), None, object), np.zeros(len(values), bool)
+    for rows, raw, _, _ in _alike(values):
+        out[rows], done[rows] = "ST_" + NAMES[int(raw[0, 2])], True
+    return pa.array(_rest(values, done, out, lambda k, g: "ST_" + NAMES[g.kind]), pa.string())
 
 
 def srid(values: pa.Array) -> pa.Array:
-    return _each(values, lambda g: g.srid, pa.int32())
+    values = _binary(values)
+    out, done = np.full(len(values), None, object), np.zeros(len(values), bool)
+    for rows, raw, _, at in _alike(values):
+        if at:
+            out[rows] = raw[:, at : at + 4].copy().view("<i4")[:, 0]
+        done[rows] = True
+    return pa.array(_rest(values, done, out, lambda k, g: g.srid), pa.int32())
 
 
 def box2d(values: pa.Array) -> pa.Array:
@@ -130,22 +178,27 @@ def from_text(values: pa.Array, *with_srid: pa.Array) -> pa.Array:
 
 def from_wkb(values: pa.Array, *with_srid: pa.Array) -> pa.Array:
     srids = _srids(with_srid[0].to_pylist() if with_srid else None, len(values))
-    out = []
-    for v, s in zip(values.to_pylist(), srids):
-        g = None if v is None else codec.read_wkb(v)
-        out.append(None if g is None else codec.encode(g if s is None else g.with_srid(s)))
-    return pa.array(out, pa.binary())
+    payloads = values.to_pylist()
+    tagged = pa.array([None if v is None else b"\x02" + v for v in payloads], pa.binary())
+    out, done = [None] * len(values), np.zeros(len(values), bool)
+    for rows, raw, start, at in _alike(tagged):
+        full = ~np.isnan(_xy(raw, start)).any(axis=(1, 2))
+        for k, r in zip(rows[full].tolist(), raw[full]):
+            s = srids[k]
+            out[k] = r.tobytes() if s is None else b"\x02\x01" + struct.pack("<Ii", int(r[2]) | 0x20000000, s) + r[at + 4 if at else 6 :].tobytes()
+        done[rows[full]] = True
+    return pa.array(_rest(tagged, done, out, lambda k, g: codec.encode(g if srids[k] is None else g.with_srid(srids[k]))), pa.binary())
 
 
 def make_envelope(*args: pa.Array) -> pa.Array:
-    out = []
-    for xmin, ymin, xmax, ymax, *rest in zip(*(a.to_pylist() for a in args)):
-        if None in (xmin, ymin, xmax, ymax):
-            raise GeometryError("The arg should be float64")
-        ring = tuple((float(x), float(y)) for x, y in ((xmin, ymin), (xmin, ymax), (xmax, ymax), (xmax, ymin), (xmin, ymin)))
-        s = _srids(rest, 1)[0] if rest and rest[0] is not None else None
-        out.append(codec.encode(Geometry(3, (ring,), s), Dialect.WKB if s is None else Dialect.EWKB))
-    return pa.array(out, pa.binary())
+    """Rectangles from the lower left corner up and around; all rows at once."""
+    if any(a.null_count for a in args[:4]):
+        raise GeometryError("a corner of an envelope has to be a number, not null")
+    x0, y0, x1, y1 = (a.cast(pa.float64()).to_numpy(zero_copy_only=False) for a in args[:4])
+    xy = np.stack([x0, y0, x0, y1, x1, y1, x1, y0, x0, y0], axis=1).astype("<f8").view(np.uint8).reshape(len(x0), 80)
+    srids = args[4].to_pylist() if len(args) > 4 else [None] * len(x0)
+    heads = {s: (bytes([1, 1]) + struct.pack("<I", 3) if s is None else bytes([2, 1]) + struct.pack("<Ii", 3 | 0x20000000, _srids([s], 1)[0])) + struct.pack("<II", 1, 5) for s in set(srids)}
+    return pa.array([heads[s] + r.tobytes() for s, r in zip(srids, xy)], pa.binary())
 
 
 def _decide(a: pa.Array, b: pa.Array, possible: Callable, exact: Callable[[Geometry, Geometry], bool]) -> pa.Array:
@@ -204,8 +257,8 @@ def buffer(values: pa.Array, width: pa.Array, quadsegs: pa.Array) -> pa.Array:
 
 
 def translate(values: pa.Array, dx: pa.Array, dy: pa.Array) -> pa.Array:
-    rows = zip(values.to_pylist(), _numbers(dx, dy))
-    return pa.array([None if v is None else codec.encode(build.translate(decode(v), float(x), float(y))) for v, (x, y) in rows], pa.binary())
+    by = np.array(list(_numbers(dx, dy)), float).reshape(-1, 2)
+    return _moved(values, lambda rows, xy: xy + by[rows][:, None, :], lambda k, g: build.translate(g, *by[k].tolist()))
 
 
 def split(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -214,8 +267,14 @@ def split(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 def as_mvt_geom(values: pa.Array, box: pa.Array) -> pa.Array:
-    rows = zip(values.to_pylist(), box.to_pylist())
-    return pa.array([None if v is None or b is None else codec.encode(build.to_tile(decode(v), tuple(b.values()))) for v, b in rows], pa.binary())
+    corners = [None if b is None else tuple(b.values()) for b in box.to_pylist()]
+    has = np.array([b is not None for b in corners], bool)
+    values = pa.array([v if on else None for v, on in zip(_binary(values).to_pylist(), has)], pa.binary()) if not has.all() else values
+    x0, y0, x1, y1 = np.array([b if b is not None else (0.0, 0.0, 1.0, 1.0) for b in corners], float).reshape(-1, 4).T
+    with np.errstate(all="ignore"):
+        fx, fy = 4096.0 / (x1 - x0), -4096.0 / (y1 - y0)
+        scale, shift = np.stack([fx, fy], axis=1), np.stack([x0 * fx, y1 * fy], axis=1)
+        return _moved(values, lambda rows, xy: xy * scale[rows][:, None, :] - shift[rows][:, None, :], lambda k, g: build.to_tile(g, corners[k]))
 
 
 def extent(values: pa.Array) -> dict:

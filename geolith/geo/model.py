@@ -24,7 +24,7 @@ class Dialect(IntEnum):
         try:
             return cls(tag)
         except ValueError:
-            raise GeometryError(f"Cannot decode WkbDialect from {tag}") from None
+            raise GeometryError(f"no dialect has the tag {tag}") from None
 
 
 POINT, LINESTRING, POLYGON, MULTIPOINT, MULTILINESTRING, MULTIPOLYGON, COLLECTION = range(1, 8)

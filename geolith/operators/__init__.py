@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geolith import functions as G
 
-#: Bytes up to which a side may be broadcast, by Catalyst's estimate of its size.
-SMALL = 64 << 20
-
+#: Bytes up to which a side may be broadcast, by Catalyst's estimate of its size, before it is dealt to cells.
+SMALL = 8 << 20
+#: The level of boxes too wide for any grid.
+TOP = 2000
 
 def inside_envelope(box: Column, xmin: float, ymin: float, xmax: float, ymax: float) -> Column:
     """Whether a box lies in the envelope, its border included; false for null boxes."""
@@ -34,34 +37,60 @@ def boxes_meet(a: Column, b: Column) -> Column:
     return (a["xmin"] <= b["xmax"]) & (b["xmin"] <= a["xmax"]) & (a["ymin"] <= b["ymax"]) & (b["ymin"] <= a["ymax"])
 
 
+def _measures(df: DataFrame, box: str) -> tuple[float, float, int, list[int]]:
+    """Largest coordinate, span, rows and the levels (powers of two of the widths) of the boxes; of these there are some two thousand at most."""
+    b = F.col(box)
+    size = F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"])
+    fits = size < 2.0**1000
+    far = F.greatest(*(F.abs(b[n]) for n in ("xmin", "ymin", "xmax", "ymax")))
+    span = F.greatest(F.max(F.when(fits, b["xmax"])) - F.min(F.when(fits, b["xmin"])), F.max(F.when(fits, b["ymax"])) - F.min(F.when(fits, b["ymin"])))
+    level = F.when(~fits, TOP).when(size > 0, F.ceil(F.log2(size)).cast("int")).otherwise(-TOP)
+    r = df.agg(F.max(F.when(fits, far)), span, F.count("*"), F.collect_set(level)).first()
+    return r[0] or 0.0, r[1] or 0.0, r[2], r[3]
+
+
 def spatial_pairs(left: DataFrame, right: DataFrame, left_geom: str, right_geom: str, predicate=G.st_intersects, cell: float | None = None) -> DataFrame:
     """Inner join of all pairs for which ``predicate(left, right)`` holds; it has to imply that the boxes meet.
 
-    A right side of at most SMALL bytes is broadcast and only its boxes are
-    compared natively. Otherwise both sides are dealt to the cells of a grid
-    (``cell`` wide; by default twice the mean width of a box) and joined by cell; a
-    pair is kept in the one cell that holds the lower corner of what the boxes share.
+    A grid has cells of every power of two. A box stands in the cells as wide as
+    itself, four at most, and in those of each wider level that the other side has;
+    a pair is met at the level of its wider box, in the one cell that holds the
+    lower corner of what the boxes share. So no box is dealt to many cells, and all
+    is a hash join by cell, with the right side broadcast if it has at most SMALL
+    bytes. The narrowest cells (``cell``; by default such that spread points stand
+    alone) bound how many points share one.
     """
     a = left.withColumn("__a", G.box2d(left_geom)).where("__a IS NOT NULL")
     b = right.withColumn("__b", G.box2d(right_geom)).where("__b IS NOT NULL")
-    meet = boxes_meet(F.col("__a"), F.col("__b"))
-    exact = predicate(F.col(left_geom), F.col(right_geom))
-    if cell is None and _size(right) <= SMALL:
-        return a.join(F.broadcast(b), meet).where(exact).drop("__a", "__b")
-    if cell is None:
-        spans = [d.agg(F.avg(F.greatest(F.col(c)["xmax"] - F.col(c)["xmin"], F.col(c)["ymax"] - F.col(c)["ymin"]))).first()[0] for d, c in ((a, "__a"), (b, "__b"))]
-        cell = max(2 * max((s or 0.0 for s in spans), default=0.0), 1e-9) or 1.0
-
-    def dealt(df: DataFrame, box: str, x: str, y: str) -> DataFrame:
-        at = lambda v: F.floor(F.col(box)[v] / cell).cast("long")
-        df = df.withColumn(x, F.explode(F.sequence(at("xmin"), at("xmax"))))
-        return df.withColumn(y, F.explode(F.sequence(at("ymin"), at("ymax"))))
-
-    a, b = dealt(a, "__a", "__x", "__y"), dealt(b, "__b", "__u", "__v")
-    corner = lambda v: F.floor(F.greatest(F.col("__a")[v], F.col("__b")[v]) / cell)
-    own = (corner("xmin") == F.col("__x")) & (corner("ymin") == F.col("__y"))
-    met = a.join(b, (F.col("__x") == F.col("__u")) & (F.col("__y") == F.col("__v")) & meet & own)
-    return met.where(exact).drop("__a", "__b", "__x", "__y", "__u", "__v")
+    far, spans, rows, levels = zip(_measures(a, "__a"), _measures(b, "__b"))
+    narrow = cell or max(spans) / max(1.0, max(rows) ** 0.5) or 1.0
+    base = max(ceil(log2(narrow)), ceil(log2(max(*far, 1e-300))) - 50, -1000)
+    levels = [sorted({max(base, n) for n in some}) for some in levels]
+
+    def side(df: DataFrame, box: str, own: str, others: list[int], level: str, x: str, y: str) -> DataFrame:
+        c = F.col(box)
+        size = F.greatest(c["xmax"] - c["xmin"], c["ymax"] - c["ymin"])
+        df = df.withColumn(own, F.when(~(size < 2.0**1000), TOP).when(size > 0, F.greatest(F.lit(base), F.ceil(F.log2(size)).cast("int"))).otherwise(base))
+        wider = F.filter(F.lit(others or [TOP]), lambda n: n > F.col(own))
+        df = df.withColumn(level, F.explode(F.concat(F.array(own), wider)))
+        for name, low, high in ((x, "xmin", "xmax"), (y, "ymin", "ymax")):
+            at = lambda v: _cell(c[v], F.col(level))
+            df = df.withColumn(name, F.explode(F.sequence(at(low), at(high))))
+        return df
+
+    a, b = side(a, "__a", "__i", levels[1], "__l", "__x", "__y"), side(b, "__b", "__j", levels[0], "__m", "__u", "__v")
+    if _size(right) <= SMALL:
+        b = F.broadcast(b)
+    corner = lambda v: _cell(F.greatest(F.col("__a")[v], F.col("__b")[v]), F.col("__l"))
+    own = (corner("xmin") == F.col("__x")) & (corner("ymin") == F.col("__y")) & (F.greatest("__i", "__j") == F.col("__l"))
+    same = (F.col("__l") == F.col("__m")) & (F.col("__x") == F.col("__u")) & (F.col("__y") == F.col("__v"))
+    met = a.join(b, same & boxes_meet(F.col("__a"), F.col("__b")) & own)
+    return met.where(predicate(F.col(left_geom), F.col(right_geom))).drop("__a", "__b", "__i", "__j", "__l", "__m", "__x", "__y", "__u", "__v")
+
+
+def _cell(v: Column, level: Column) -> Column:
+    """The number of the cell of a level that holds a coordinate; the widest level is one cell."""
+    return F.when(level >= TOP, F.lit(0).cast("long")).otherwise(F.floor(v / F.pow(F.lit(2.0), level)).cast("long"))
 
 
 def spatial_join(left: DataFrame, right: DataFrame, left_geom: str, right_geom: str, how: str = "inner", key: str | None = None, predicate=G.st_intersects, cell: float | None = None) -> DataFrame:

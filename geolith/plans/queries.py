@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -271,18 +273,90 @@ def set_operations(spark, sf_dir):
     return one.intersect(c.where(G.st_intersects("g", _envelope((100.0, 0.0, 300.0, 100.0)))).select("c_custkey"))
 
 
+@_query(f"SELECT c_custkey FROM customer WHERE {_IN} UNION SELECT c_custkey FROM customer WHERE c_custkey BETWEEN 100 AND 300")
+def set_union(spark, sf_dir):
+    c = _customers(spark, sf_dir)
+    one = c.where(G.st_intersects("g", _envelope())).select("c_custkey")
+    return one.union(c.where(G.st_intersects("g", _envelope((100.0, 0.0, 300.0, 100.0)))).select("c_custkey")).distinct()
+
+
+@_query(f"SELECT c_custkey FROM customer WHERE {_IN} EXCEPT SELECT c_custkey FROM customer WHERE c_custkey BETWEEN 100 AND 300")
+def set_except(spark, sf_dir):
+    c = _customers(spark, sf_dir)
+    one = c.where(G.st_intersects("g", _envelope())).select("c_custkey")
+    return one.exceptAll(c.where(G.st_intersects("g", _envelope((100.0, 0.0, 300.0, 100.0)))).select("c_custkey"))
+
+
+@_query(f"SELECT c_nationkey, c_mktsegment, {_EXTENT} FROM customer GROUP BY ROLLUP (c_nationkey, c_mktsegment)")
+def extent_rollup(spark, sf_dir):
+    c = _balances(spark, sf_dir).select("c_nationkey", "c_mktsegment", G.box2d("g").alias("b"))
+    return c.rollup("c_nationkey", "c_mktsegment").agg(G.st_extent_of("b").alias("e")).select("c_nationkey", "c_mktsegment", *_flat("e"))
+
+
+@_query(f"SELECT c_nationkey, c_mktsegment, {_EXTENT} FROM customer GROUP BY GROUPING SETS ((c_nationkey), (c_mktsegment))")
+def extent_grouping_sets(spark, sf_dir):
+    c = _balances(spark, sf_dir).select("c_nationkey", "c_mktsegment", G.box2d("g").alias("b"))
+    keys = [F.col("c_nationkey"), F.col("c_mktsegment")]
+    return c.groupingSets([[k] for k in keys], *keys).agg(G.st_extent_of("b").alias("e")).select(*keys, *_flat("e"))
+
+
+@_query("SELECT c_custkey, max(c_acctbal) OVER (PARTITION BY c_nationkey) AS xmax, CAST(min(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) AS DOUBLE) AS ymin FROM customer")
+def extent_window_whole(spark, sf_dir):
+    """Windows over a whole partition and up to the current row."""
+    c = _balances(spark, sf_dir).withColumn("b", G.box2d("g"))
+    w = Window.partitionBy("c_nationkey")
+    return c.select("c_custkey", F.max("b.xmax").over(w).alias("xmax"), F.min("b.ymin").over(w.orderBy(F.desc("c_custkey"))).alias("ymin"))
+
+
+#: Types of geometries by the remainder of a key, as text around the coordinates x and y. Fixed values.
+_MULTI = (
+    ("ST_MultiPoint", "MULTIPOINT({x} {y},1 2)"),
+    ("ST_MultiLineString", "MULTILINESTRING(({x} {y},1 2),(3 4,5 6))"),
+    ("ST_MultiPolygon", "MULTIPOLYGON((({x} {y},{x} 99,-5 99,{x} {y})))"),
+    ("ST_GeometryCollection", "GEOMETRYCOLLECTION(POINT({x} {y}),LINESTRING(1 2,3 4))"),
+    ("ST_LineString", "LINESTRING({x} {y},1 2)"),
+)
+
+
+def _pick(of: int, x: str, y: str) -> str:
+    quoted = [m[of].replace("{x}", f"' || {x} || '").replace("{y}", f"' || {y} || '") for m in _MULTI]
+    return "CASE c_custkey % 5 " + " ".join(f"WHEN {k} THEN '{q}'" for k, q in enumerate(quoted)) + " END"
+
+
+@_query(f"SELECT c_custkey, {_pick(1, 'c_custkey', 'c_nationkey')} AS wkt, {_pick(0, '', '')} AS kind, 4326 AS srid FROM customer")
+def multi_types(spark, sf_dir):
+    """Text, type and SRID of all types, written to Parquet and read back."""
+    c = _table(spark, sf_dir, "customer").withColumn("wkt", F.expr(_pick(1, "c_custkey", "c_nationkey")))
+    c = stored(c.select("c_custkey", G.st_geom_from_text("wkt", F.lit(4326)).alias("g")))
+    return c.select("c_custkey", G.st_as_text("g").alias("wkt"), G.st_geometry_type("g").alias("kind"), G.st_srid("g").alias("srid"))
+
+
+@_query("SELECT c_custkey, 'MULTIPOINT(' || (-c_custkey - 10) || ' ' || c_nationkey || ',1 2)' AS wkt FROM customer")
+def boundary_of_lines(spark, sf_dir):
+    line = F.concat_ws("", F.lit("LINESTRING("), (-F.col("c_custkey") - 10).cast("string"), F.lit(" "), F.col("c_nationkey").cast("string"), F.lit(",7 7,1 2)"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", G.st_as_text(G.st_boundary(G.st_geom_from_text(line))).alias("wkt"))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The table written as Parquet to the shared folder and read back: geometry columns are plain binary values there."""
+    spark = df.sparkSession
+    path = f"{spark.conf.get('spark.checkpoint.dir', '') or '/tmp/checkpoints'}/{spark.sparkContext.applicationId}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @_query(f"SELECT c_custkey, {_POINT} AS wkt, CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 4326 END AS srid FROM customer")
 def dialects(spark, sf_dir):
     """All five dialects are read alike; the SRID 1 stands for none."""
     c = _customers(spark, sf_dir, 4326)
 
     @F.pandas_udf("binary")
-    def stored(g: pd.Series, key: pd.Series) -> pd.Series:
+    def in_dialect(g: pd.Series, key: pd.Series) -> pd.Series:
         from geolith.geo.codec import decode
 
         return pd.Series([encode(decode(v), Dialect(1 + k % 5)) for v, k in zip(g, key)])
 
-    c = c.withColumn("g", stored("g", "c_custkey"))
+    c = c.withColumn("g", in_dialect("g", "c_custkey"))
     return c.select("c_custkey", G.st_as_text("g").alias("wkt"), F.coalesce(G.st_srid("g"), F.lit(1)).alias("srid"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
 from geolith import functions as G
@@ -175,3 +176,109 @@ def test_joins(spark):
         assert {r.id for r in spatial_join(a, b, "p", "q", "left_anti", "id", cell=cell).collect()} == set(range(60)) - {i for i, _ in want}
         assert {r.id for r in spatial_join(a, b, "p", "q", "left_semi", "id", cell=cell).collect()} == {i for i, _ in want}
         assert spatial_join(a, b, "p", "q", "left", "id", cell=cell).count() == len(want) + 60 - len({i for i, _ in want})
+
+
+def test_kernels_for_rows_alike_equal_those_for_one(spark):
+    """Rows of one layout are handled at once; with others between them the results are those of single rows."""
+    import pyarrow as pa
+
+    from geolith.geo import build, codec, columns
+    from geolith.geo.model import Dialect, Geometry
+    from geolith.geo.text import from_wkt
+
+    texts = ["POINT(1 2)", "POINT(-3 4.5)", "POINT EMPTY", "LINESTRING(0 0,1 1,2 5)", "LINESTRING EMPTY", "POLYGON((0 0,0 1,1 1,0 0))", "POLYGON((0 0,0 9,9 9,9 0,0 0),(1 1,2 1,2 2,1 1))", "MULTIPOINT(1 2,3 4)", "GEOMETRYCOLLECTION(POINT(1 2))"]
+    shapes = [from_wkt(t).with_srid(s) for t in texts for s in (None, 4326, -7)]
+    for dialect in Dialect:
+        values = [codec.encode(g, dialect) for g in shapes] + [None]
+        array, read = pa.array(values, pa.binary()), [codec.decode(v) for v in values[:-1]]
+        assert columns.geometry_type(array).to_pylist()[:-1] == [columns.geometry_type(array.slice(k, 1)).to_pylist()[0] for k in range(len(read))]
+        assert columns.srid(array).to_pylist() == [g.srid for g in read] + [None]
+        by = pa.array(np.arange(len(values), dtype=float))
+        assert columns.translate(array, by, by).to_pylist() == [codec.encode(build.translate(g, k, k)) for k, g in enumerate(read)] + [None]
+        box = {"xmin": 1.0, "ymin": 2.0, "xmax": 4097.0, "ymax": 4098.0}
+        tiles = columns.as_mvt_geom(array, pa.array([box] * len(read) + [box], columns.BOX)).to_pylist()
+        assert tiles == [codec.encode(build.to_tile(g, tuple(box.values()))) for g in read] + [None]
+    payloads = [codec.write_wkb(g, True) for g in shapes]
+    for given in (None, 9):
+        got = columns.from_wkb(pa.array(payloads, pa.binary()), *([] if given is None else [pa.array([given] * len(payloads))])).to_pylist()
+        assert got == [codec.encode(g if given is None else g.with_srid(given)) for g in shapes]
+    got = columns.make_envelope(*(pa.array([v, v + 1], pa.float64()) for v in (0, 1, 5, 6)), pa.array([None, 3])).to_pylist()
+    rings = [((x, x + 1), (x, x + 6), (x + 5, x + 6), (x + 5, x + 1), (x, x + 1)) for x in (0.0, 1.0)]
+    assert got == [codec.encode(Geometry(3, (rings[0],)), Dialect.WKB), codec.encode(Geometry(3, (rings[1],), 3))]
+
+
+def test_plain_coordinates():
+    from geolith.geo.text import to_wkt
+    from geolith.sources import decode, encode
+
+    got = decode(encode([(1, 2), [(0, 0), (1, 1)], [[(0, 0), (0, 1), (1, 1), (0, 0)]], None]))
+    assert [g and to_wkt(g) for g in got] == ["POINT(1 2)", "LINESTRING(0 0,1 1)", "POLYGON((0 0,0 1,1 1,0 0))", None]
+    for bad in ((1, 2, 3), [(1, 2, 3)], "POINT(1 2)", []):
+        with pytest.raises(GeometryError):
+            encode([bad])
+    with pytest.raises(GeometryError):
+        __import__("geolith.geo.text", fromlist=["x"]).from_wkt("POINT Z (1 2 3)")
+
+
+def test_join_of_mixed_sizes(spark, monkeypatch):
+    """Boxes of all sizes, one of them huge, against all pairs; and no nested loop in the plan."""
+    from pyspark.sql import functions as F
+
+    from geolith import operators
+    from geolith.operators import spatial_pairs
+
+    g = np.random.default_rng(3)
+
+    def boxes(n, first):
+        at, size = g.uniform(-1000, 1000, (n, 2)), 2.0 ** g.uniform(-12, 8, (n, 2)) * (g.random((n, 1)) < 0.7)
+        at[0], size[0] = (-5000, -5000), (10_000, 10_000)
+        at[1], size[1] = (-1e18, -1e18), (2e18, 2e18)
+        return [(first + k, *a, *(a + s)) for k, (a, s) in enumerate(zip(at.tolist(), size))]
+
+    one, two = boxes(400, 0), boxes(300, 1000)
+    make = lambda rows, name: spark.createDataFrame([tuple(map(float, r)) for r in rows], f"{name} double, x0 double, y0 double, x1 double, y1 double").select(name, G.st_make_envelope("x0", "y0", "x1", "y1").alias(f"{name}_g"))
+    want = {(a[0], b[0]) for a in one for b in two if a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4]}
+    for small in (True, False):
+        monkeypatch.setattr(operators, "SMALL", 1 << 60 if small else 0)
+        right = make(two, "b") if small else make(two, "b").repartition(3)
+        met = spatial_pairs(make(one, "a"), right, "a_g", "b_g", predicate=lambda p, q: F.lit(True))
+        got = [tuple(map(int, r)) for r in met.select("a", "b").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_buffers_against_jts(spark):
+    """Random lines and areas: what differs is no more than arcs of other corners allow, and joins have no notches."""
+    from geolith.geo import build
+    from geolith.geo.text import from_wkt, to_wkt
+
+    jvm = spark.sparkContext._jvm
+    reader = jvm.org.locationtech.jts.io.WKTReader()
+    g = np.random.default_rng(4)
+    walk = lambda n: "LINESTRING(" + ",".join(f"{x} {y}" for x, y in np.cumsum(g.uniform(-2, 3, (n, 2)), axis=0).round(3).tolist()) + ")"
+    cases = [("LINESTRING(0 0,10 3,20 0)", 2.0), *((walk(n), w) for n in (2, 5, 30) for w in (0.3, 2.0)), ("POLYGON((0 0,0 9,9 9,5 4,9 0,0 0),(1 1,2 1,2 2,1 1))", 0.7), ("POLYGON((0 0,0 9,9 9,9 0,0 0))", -1.5), ("MULTIPOINT(0 0,1 1,9 9)", 1.0)]
+    for wkt, width in cases:
+        own = reader.read(to_wkt(build.buffer(from_wkt(wkt), width, 8)))
+        other = reader.read(wkt).buffer(width, 8)
+        assert own.isValid() and own.symDifference(other).getArea() <= 0.012 * abs(width) * other.getLength(), wkt
+
+
+def test_extents_of_a_stream(spark, tmp_path):
+    """A stream that ends when its files are read: rows in time count, rows behind the watermark don't."""
+    from datetime import datetime, timedelta
+
+    from geolith.streaming import windowed_extent
+
+    start, files = datetime(2024, 1, 1), str(tmp_path / "in")
+    schema = "ts timestamp, x double, y double"
+    batches = [[(0, 1.0, 2.0), (5, 3.0, 4.0)], [(70, 5.0, 6.0)], [(75, 7.0, 1.0)], [(6, 99.0, 99.0)], [(200, 0.0, 0.0)]]
+    for rows in batches:
+        spark.createDataFrame([(start + timedelta(minutes=m), x, y) for m, x, y in rows], schema).coalesce(1).write.mode("append").parquet(files)
+        __import__("time").sleep(0.05)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(files)
+    extents = windowed_extent(stream.withColumn("g", G.st_make_envelope("x", "y", "x", "y")), "g", "ts", "1 hour")
+    query = extents.writeStream.format("memory").queryName("stream_extents").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {(r.start.hour, r.n, r.xmin, r.ymin, r.xmax, r.ymax) for r in spark.sql("SELECT window.start, n, extent.* FROM stream_extents").collect()}
+    assert got == {(0, 2, 1.0, 2.0, 3.0, 4.0), (1, 2, 5.0, 1.0, 7.0, 6.0)}
