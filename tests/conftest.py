@@ -19,6 +19,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", os.environ.get("SPARK_SHARED_DIR", "/tmp/checkpoints"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
