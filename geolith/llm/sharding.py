@@ -27,10 +27,10 @@ def shuffled_buckets(docs: DataFrame, seed: int, bucket_bytes: int) -> tuple[Dat
     place = F.monotonically_increasing_id() if copied else F.lit(0)
     n, size = docs.select(F.coalesce(F.octet_length("text"), F.lit(0)).alias("s")).agg(F.count("*"), F.sum(F.col("s") + 8)).first()
     buckets = max(1, -(-(size or 0) // bucket_bytes))
-    bucket = F.pmod(F.xxhash64(content, place), F.lit(buckets)).alias("_bucket")
+    bucket = F.pmod(F.xxhash64(content, place), F.lit(buckets)).cast("int").alias("_bucket")
     record = F.struct(F.xxhash64(F.lit(seed + 1), "doc_id", "text").alias("_h"), "doc_id", "text")
-    filled = rows.select(bucket, record.alias("_r")).repartition(int(buckets), "_bucket").groupBy("_bucket").agg(F.sort_array(F.collect_list("_r")).alias("_a"))
-    dealt = filled.sortWithinPartitions("_bucket").select("_bucket", F.posexplode(F.shuffle("_a", F.lit(seed))).alias("_k", "_r"))
+    filled = rows.select(bucket, record.alias("_r")).repartitionById(int(buckets), F.col("_bucket")).groupBy("_bucket").agg(F.sort_array(F.collect_list("_r")).alias("_a"))
+    dealt = filled.select("_bucket", F.posexplode(F.shuffle("_a", F.lit(seed))).alias("_k", "_r"))
     return written(dealt.select("_bucket", "_k", "_r.doc_id", "_r.text"), "dealt"), n
 
 
