@@ -96,6 +96,42 @@ def test_mixing_odd(odd, empty):
     assert mixing.mix(empty).collect() == []
 
 
+def test_mixing_equals_a_plain_queue(spark, docs):
+    """What each document takes, recomputed row by row: finish times, the cut, the levels, then the longest that fit."""
+    from pyspark.sql import functions as F
+
+    some = docs.select("doc_id", "text", F.expr("CASE WHEN doc_id % 7 < 3 THEN 'hot' WHEN doc_id % 7 < 5 THEN source END").alias("source"))
+    got = {r.doc_id: r for r in mixing.mix(some).collect()}
+    rows = some.select("doc_id", "source", mixing.words_in(F.col("text")).alias("size")).withColumn("h", F.xxhash64(F.lit(17), "doc_id", "source", "size")).collect()
+    target, _ = check_mix(got.values(), None)
+    names = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
+    events = []
+    for k, name in enumerate(names):
+        queue = sorted((r for r in rows if r.source == name), key=lambda r: r.h % (1 << 64))
+        whole, served = sum(r.size for r in queue), 0
+        for nth in range(3):
+            for r in queue:
+                served += r.size
+                events.append((served / (1 + k % 3), r.doc_id, r, nth, served))
+        assert served == 3 * whole
+    events.sort(key=lambda e: e[:2])
+    budget, spent, times, left = sum(r.size for r in rows), 0, Counter(), defaultdict(list)
+    lack = dict(target)
+    for _, d, r, nth, served in events:
+        spent += r.size
+        if spent <= budget and served <= target[r.source] + 1e-6:
+            times[d] += bool(r.size)
+            lack[r.source] -= r.size
+        elif r.size:
+            left[r.source].append((-r.size, nth, r.h % (1 << 64), d))
+    for name in names:
+        for size, _, _, d in sorted(left[name]):
+            if -size <= lack[name] + 1e-6:
+                lack[name] += size
+                times[d] += 1
+    assert {d: r.times for d, r in got.items()} == {d: times[d] for d in got}
+
+
 # Exact dedup
 
 
@@ -189,6 +225,27 @@ def test_near_group_of_many(spark):
     assert Counter((r.doc_id, r.class_id) for r in got) == plain_classes(rows)
 
 
+def test_near_in_many_blocks(spark, monkeypatch):
+    """Bands dealt to many pairs of blocks, and no help from signatures: still the classes of all pairs."""
+    g = np.random.default_rng(12)
+    rows = []
+    for group in range(3):
+        base = [f"g{group}w{k}" for k in range(100)]
+        for k in range(70):
+            w = list(base)
+            for at in g.choice(100, g.integers(0, 5), replace=False):
+                w[at] = f"x{group}_{k}_{at}"
+            rows.append((len(rows), " ".join(w)))
+    frame, want = spark.createDataFrame(rows, "doc_id long, text string"), plain_classes(rows)
+    assert len(want) == len(rows) and 3 < len({c for _, c in want}) < 150
+    monkeypatch.setattr(near, "BLOCK", 8)
+    monkeypatch.setattr(near, "GRAMS", 500)
+    for doubt in (near.DOUBT, None):
+        got = near.near_duplicates(frame, doubt=doubt).collect()
+        assert Counter((r.doc_id, r.class_id) for r in got) == want
+        assert Counter(r.class_id for r in got if r.kept) == Counter({c for _, c in want})
+
+
 def test_dart_minhash_estimates_weighted_jaccard():
     g = np.random.default_rng(1)
     ids = g.integers(0, 1 << 62, 400).astype(np.uint64)
@@ -543,6 +600,28 @@ def test_quality_odd(spark, odd, empty):
     assert quality.keep_quality(odd, none).columns == odd.columns
 
 
+def test_word_vectors_and_features_against_plain_loops(spark, texts):
+    """Random indexing and pooling, token by token."""
+    some = [*(t for t in list(texts.values())[:12]), None, "", "one", "a a a b"]
+    index, total = quality.index_vectors(), np.zeros((quality.BUCKETS, quality.WIDTH))
+    tokens_of = [quality.Tokens().ids(t) for t in some]
+    for ids in tokens_of:
+        for i in range(len(ids)):
+            for j in range(max(0, i - quality.WINDOW), min(len(ids), i + quality.WINDOW + 1)):
+                if i != j:
+                    total[ids[i]] += index[ids[j]]
+    length = np.linalg.norm(total, axis=1, keepdims=True)
+    want = np.divide(total, length, out=np.zeros_like(total), where=length > 0)
+    got = quality.word_vectors(spark.createDataFrame([(t,) for t in some], "text string"))
+    assert np.allclose(got, want, atol=1e-6)
+    for row, ids, t in zip(quality.features(some, want), tokens_of, some):
+        if len(ids):
+            each = want[ids]
+            assert np.allclose(row, [*each.mean(0), *each.std(0), np.log1p(len(ids)), len(set(ids.tolist())) / len(ids), len(t) / len(ids) / 10], atol=1e-6)
+        else:
+            assert not row.any()
+
+
 def test_temperature_calibrates():
     g = np.random.default_rng(0)
     x = g.normal(size=(4000, 6))
