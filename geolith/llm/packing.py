@@ -2,9 +2,9 @@
 
 What decides a packing is how many pieces there are of each length, a table of
 at most ``capacity`` counts whatever the corpus. The plan is made on it: from the
-longest length down, the gap that a piece leaves is looked up among the single
-lengths, the sums of two and the sums of three that are still there, and such
-fillings are used up as often as the counts allow. What has no exact filling is
+longest length down, the gap that a piece leaves is looked up in an index of the
+single lengths and of the sums of two and of three, and the fillings that are still
+there are used up as often as the counts allow. What has no exact filling is
 packed best-fit. Every step uses a pattern as often as it can, so a plan has a
 few thousand patterns at most, and the pieces find their places in it by their
 rank within their length.
@@ -12,6 +12,7 @@ rank within their length.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -27,61 +28,96 @@ from geolith.llm.tokens import END, vocabulary_path
 CAPACITY = 1024
 
 
+class Sums:
+    """Index of the sums of two and three of the lengths that occur; of one, ``have`` itself is the index.
+
+    ``pairs[s]`` lists the pairs with sum s, the greater length first and falling;
+    ``firsts[s]`` lists the greatest lengths of the triples with sum s, each of
+    which goes with the pairs of what it leaves.
+    """
+
+    def __init__(self, have: np.ndarray) -> None:
+        capacity = len(have) - 1
+        lengths = np.flatnonzero(have)[::-1]
+        a, b = (x.ravel() for x in np.meshgrid(lengths, lengths, indexing="ij"))
+        on = (a >= b) & (a + b <= capacity)
+        a, b = a[on], b[on]
+        order = np.argsort(a + b, kind="stable")
+        ends = np.cumsum(np.bincount(a + b, minlength=capacity + 1))
+        self.pairs = [p.tolist() for p in np.split(np.stack([a, b], axis=1)[order], ends[:-1])]
+        least = np.array([min((p[0] for p in some), default=capacity + 1) for some in self.pairs])
+        self.firsts = [[x for x in lengths.tolist() if x < s and least[s - x] <= x] for s in range(capacity + 1)]
+
+    def fillings(self, gap: int, have: np.ndarray, most: int) -> Iterator[tuple[int, ...]]:
+        """What fills a gap exactly: one length, then pairs, then triples (up to ``most`` lengths), as long as they are there."""
+        if have[gap]:
+            yield (gap,)
+        for x, y in self.pairs[gap] if most > 1 else ():
+            if have[x] and have[y]:
+                yield x, y
+        for x in self.firsts[gap] if most > 2 else ():
+            if have[x]:
+                for y, z in self.pairs[gap - x]:
+                    if y <= x and have[x] and have[y] and have[z]:
+                        yield x, y, z
+
+
 def plan_packing(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence's pieces, how many such sequences), from the counts by length.
 
-    ``counts[n]`` is the number of pieces of length n, 0 < n <= capacity.
+    ``counts[n]`` is the number of pieces of length n, 0 < n <= capacity. Pieces of
+    more than half a sequence go first, as each needs one of its own: exact
+    fillings, then the best fit of what is left. Then the others do. As pairs and
+    triples for the first may use up what would have filled others' gaps, plans
+    are made with up to one, two and three lengths for them, and the shortest is taken.
     """
+    index = Sums(np.array(counts, np.int64))
+    return min((_plan(index, counts, capacity, most) for most in (3, 2, 1)), key=lambda plan: sum(times for _, times in plan))
+
+
+def _plan(index: Sums, counts: np.ndarray, capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     have = np.array(counts, np.int64)
     plan: list[tuple[tuple[int, ...], int]] = []
 
-    def use(parts: tuple[int, ...]) -> bool:
+    def use(parts: tuple[int, ...]) -> None:
         """Take the pattern as often as the counts allow."""
-        need = {n: parts.count(n) for n in parts}
-        times = min(have[n] // k for n, k in need.items())
-        if times <= 0:
-            return False
-        for n, k in need.items():
-            have[n] -= times * k
-        plan.append((parts, int(times)))
-        return True
-
-    rest: list[tuple[int, int]] = []
-    for n in range(capacity, 0, -1):
-        gap = capacity - n
-        if have[n] and not gap:
+        need = Counter(parts)
+        times = min(int(have[n]) // k for n, k in need.items())
+        if times > 0:
+            for n, k in need.items():
+                have[n] -= times * k
+            plan.append((parts, times))
+
+    half = capacity // 2
+
+    def exactly(n: int) -> int:
+        """Use up pieces of length ``n`` with exact fillings; how many are left."""
+        if have[n] and n == capacity:
             use((n,))
-        if have[n] and gap:
-            use((n, gap))
-        if have[n] and gap >= 2:
-            a = np.arange(gap // 2, 0, -1)
-            for x in a[(have[a] > 0) & (have[gap - a] > 0)]:
-                if have[n] and have[x] and have[gap - x]:
-                    use((n, int(gap - x), int(x)))
-        if have[n] and gap >= 3:
-            _triples(have, n, gap, use)
-        if have[n]:
-            rest.append((n, int(have[n])))
+        elif have[n]:
+            for rest in index.fillings(capacity - n, have, most if n > half else 3):
+                use((n, *rest))
+                if not have[n]:
+                    break
+        return int(have[n])
+
+    for n in [n for n in range(capacity, half, -1) if exactly(n)]:
+        while have[n]:
+            parts, gap, free = [n], capacity - n, have[: half + 1].copy()
+            while gap and len(some := np.flatnonzero(free[: gap + 1])):
+                parts.append(int(some[-1]))
+                free[some[-1]] -= 1
+                gap -= parts[-1]
+            use(tuple(parts))
+    rest = []
+    for n in range(half, 0, -1):
+        if left := exactly(n):
+            rest.append((n, left))
             have[n] = 0
     _best_fit(rest, capacity, plan)
     return plan
 
 
-def _triples(have: np.ndarray, n: int, gap: int, use) -> None:
-    for x in range(gap - 2, (gap + 2) // 3 - 1, -1):
-        if not have[x]:
-            continue
-        left = gap - x
-        b = np.arange(left // 2, 0, -1)
-        b = b[left - b <= x]
-        for y in b[(have[b] > 0) & (have[left - b] > 0)]:
-            use((n, x, int(left - y), int(y)))
-            if not have[n]:
-                return
-            if not have[x]:
-                break
-
-
 def _best_fit(rest: list[tuple[int, int]], capacity: int, plan: list) -> None:
     """Pieces of falling length into the fullest open sequence that takes them; equal sequences are handled together."""
     open_by_gap: dict[int, list[tuple[tuple[int, ...], int]]] = {}
