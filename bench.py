@@ -46,6 +46,8 @@ def main() -> None:
         assert hit.count() == 15
 
     clock("intersects_3m_lines", intersects)
+    every = lines.select(G.st_intersects("geom", G.geometry("POINT(10 11)")).alias("hit"))
+    clock("intersects_3m_lines_all_rows", lambda: every.write.format("noop").mode("overwrite").save())
     lines.unpersist()
     for name in QUERIES:
         clock(name, lambda: spatial.queries()[name](spark, sf_dir).write.format("noop").mode("overwrite").save())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame
@@ -37,16 +38,18 @@ def boxes_meet(a: Column, b: Column) -> Column:
     return (a["xmin"] <= b["xmax"]) & (b["xmin"] <= a["xmax"]) & (a["ymin"] <= b["ymax"]) & (b["ymin"] <= a["ymax"])
 
 
-def _measures(df: DataFrame, box: str) -> tuple[float, float, int, list[int]]:
-    """Largest coordinate, span, rows and the levels (powers of two of the widths) of the boxes; of these there are some two thousand at most."""
-    b = F.col(box)
+def _measures(*boxed: tuple[DataFrame, str]) -> list[tuple[float, float, int, list[int]]]:
+    """For each table and its column of boxes, in one job: largest coordinate, span, rows and the levels (powers of two of the widths), of which there are some two thousand at most."""
+    narrow = [df.select(F.lit(k).alias("side"), F.col(box).alias("b")) for k, (df, box) in enumerate(boxed)]
+    b = F.col("b")
     size = F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"])
     fits = size < 2.0**1000
     far = F.greatest(*(F.abs(b[n]) for n in ("xmin", "ymin", "xmax", "ymax")))
     span = F.greatest(F.max(F.when(fits, b["xmax"])) - F.min(F.when(fits, b["xmin"])), F.max(F.when(fits, b["ymax"])) - F.min(F.when(fits, b["ymin"])))
     level = F.when(~fits, TOP).when(size > 0, F.ceil(F.log2(size)).cast("int")).otherwise(-TOP)
-    r = df.agg(F.max(F.when(fits, far)), span, F.count("*"), F.collect_set(level)).first()
-    return r[0] or 0.0, r[1] or 0.0, r[2], r[3]
+    found = reduce(DataFrame.unionByName, narrow).groupBy("side").agg(F.max(F.when(fits, far)), span, F.count("*"), F.collect_set(level)).collect()
+    of = {r[0]: r for r in found}
+    return [(of[k][1] or 0.0, of[k][2] or 0.0, of[k][3], of[k][4]) if k in of else (0.0, 0.0, 0, []) for k in range(len(boxed))]
 
 
 def spatial_pairs(left: DataFrame, right: DataFrame, left_geom: str, right_geom: str, predicate=G.st_intersects, cell: float | None = None) -> DataFrame:
@@ -62,7 +65,7 @@ def spatial_pairs(left: DataFrame, right: DataFrame, left_geom: str, right_geom:
     """
     a = left.withColumn("__a", G.box2d(left_geom)).where("__a IS NOT NULL")
     b = right.withColumn("__b", G.box2d(right_geom)).where("__b IS NOT NULL")
-    far, spans, rows, levels = zip(_measures(a, "__a"), _measures(b, "__b"))
+    far, spans, rows, levels = zip(*_measures((a, "__a"), (b, "__b")))
     narrow = cell or max(spans) / max(1.0, max(rows) ** 0.5) or 1.0
     base = max(ceil(log2(narrow)), ceil(log2(max(*far, 1e-300))) - 50, -1000)
     levels = [sorted({max(base, n) for n in some}) for some in levels]
