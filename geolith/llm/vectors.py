@@ -125,15 +125,21 @@ def pq_code(rest: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def estimates(queries: np.ndarray, centroid: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
-    """Asymmetric estimates of all products of ``queries`` with the coded vectors, by table lookup."""
+    """Asymmetric estimates of all products of the coded vectors (rows) with ``queries`` (columns), by table lookup in single precision."""
     parts, _, width = books.shape
     padded = np.pad(queries, ((0, 0), (0, width * parts - queries.shape[1])))
-    out = np.repeat((queries @ centroid)[:, None], len(codes), axis=1)
+    out = np.repeat((queries @ centroid).astype(np.float32)[None, :], len(codes), axis=0)
     for p in range(parts):
-        out += (padded[:, p * width : (p + 1) * width] @ books[p].T)[:, codes[:, p]]
+        table = np.ascontiguousarray((books[p] @ padded[:, p * width : (p + 1) * width].T).astype(np.float32))
+        for lo in range(0, len(codes), 512):
+            out[lo : lo + 512] += table[codes[lo : lo + 512, p]]
     return out
 
 
+#: More than the rounding of an estimate in single precision; so no pair is dismissed for it.
+ROUNDING = 1e-4
+
+
 def _sooner(a: np.ndarray, b: np.ndarray, at: int) -> np.ndarray:
     """Whether the rows of ``a`` and ``b``, sorted list numbers, share a list before ``at``."""
     out = np.zeros((len(a), len(b)), bool)
@@ -264,14 +270,19 @@ def _compare(groups: DataFrame, cosine: float, sample: int) -> DataFrame:
         error, lists, rep, copies = frame["error"].to_numpy(), np.stack(frame["lists"]), frame["rep"].to_numpy(), frame["copies"].to_numpy()
         one = np.flatnonzero(frame["_own"] == i)
         two = np.flatnonzero(frame["_own"] == j)
-        bound, n, edges, dense = cosine - 1e-9, np.zeros(len(frame)), [], False
+        bound, n, edges, dense = cosine - ROUNDING, np.zeros(len(frame)), [], False
+        width = books.shape[2]
+        padded, products = np.pad(unit, ((0, 0), (0, width * len(books) - unit.shape[1]))), unit @ coarse[at]
+        tables = [(padded[:, k * width : (k + 1) * width] @ books[k].T).astype(np.float32) for k in range(len(books))]
         for lo in range(0, len(one), TILE):
             p, q = one[lo : lo + TILE], two[lo if i == j else 0 :]
             upper = np.arange(len(p))[:, None] < np.arange(len(q)) if i == j else True
             if not dense:
-                near = estimates(unit[p], coarse[at], codes[q], books) + error[q] >= bound
-                near &= (estimates(unit[q], coarse[at], codes[p], books) + error[p] >= bound).T
-                near &= upper
+                near = (estimates(unit[p], coarse[at], codes[q], books) >= (bound - error[q])[:, None]).T & upper
+                x, y = np.nonzero(near)
+                if len(x):  # the other way round, for those that are left
+                    back = products[q[y]] + sum(tables[k][q[y], codes[p[x], k]] for k in range(len(tables)))
+                    near[x, y] = back >= bound - error[p[x]]
                 dense = near.mean() > DENSE
             if dense:
                 on = (unit[p] @ unit[q].T >= cosine) & upper
