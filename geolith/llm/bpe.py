@@ -43,9 +43,11 @@ def encoder(path: str) -> "Encoder":
 
 def gather(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The runs of ``n`` values of ``flat`` from each ``start``, one after the other."""
-    ends = np.cumsum(n)
-    at = np.repeat(start - (ends - n), n)
-    at += np.arange(len(at))
+    n = n.astype(np.int32, copy=False)
+    first = start.astype(np.int32, copy=False) - np.cumsum(n, dtype=np.int32)
+    first += n
+    at = np.repeat(first, n)
+    at += np.arange(len(at), dtype=np.int32)
     return flat[at]
 
 
@@ -184,9 +186,10 @@ class Encoder:
         following = np.ones(len(values), bool)
         following[first] = False
         coded = values.filter(pa.array(following)).dictionary_encode()
+        fronts, f = self._each(values.take(pa.array(first)).to_pylist())
+        del values
         flat, start, n = self._chunks(coded.dictionary)
         which = np.asarray(coded.indices)
-        fronts, f = self._each(values.take(pa.array(first)).to_pylist())
         wholes, w = self._each(texts.take(pa.array(kept)).to_pylist())
         both = np.concatenate([flat, fronts, wholes, np.array([end], self.dtype)])
 
@@ -195,14 +198,16 @@ class Encoder:
         runs[cut[order]] = counts
         runs += 1
         last = np.cumsum(runs) - 1
-        at, length = np.empty(int(runs.sum()), np.int64), np.empty(int(runs.sum()), np.int64)
+        at, length = np.empty(int(runs.sum()), np.int32), np.empty(int(runs.sum()), np.int32)
         begin = last - runs + 1
         at[last], length[last] = len(both) - 1, 1
         at[begin[kept]], length[begin[kept]] = len(flat) + len(fronts) + np.cumsum(w) - w, w
-        places = np.repeat(begin[cut[order]] - first, counts) + np.arange(len(values))
+        places = np.repeat((begin[cut[order]] - first).astype(np.int32), counts) + np.arange(len(following), dtype=np.int32)
         at[places[first]], length[places[first]] = len(flat) + np.cumsum(f) - f, f
-        at[places[following]], length[places[following]] = start[which], n[which]
-        return gather(both, at, length), np.add.reduceat(length, begin) if len(begin) else length
+        places = places[following]
+        at[places], length[places] = start[which], n[which]
+        del places, which, following, coded
+        return gather(both, at, length), np.add.reduceat(length, begin, dtype=np.int64) if len(begin) else length.astype(np.int64)
 
     def batches(self, texts: pa.Array, end: int):
         """``lo, hi, ids, counts`` of runs of the texts of about SLICE_BYTES."""
