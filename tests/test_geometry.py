@@ -257,7 +257,7 @@ def test_buffers_against_jts(spark):
     reader = jvm.org.locationtech.jts.io.WKTReader()
     g = np.random.default_rng(4)
     walk = lambda n: "LINESTRING(" + ",".join(f"{x} {y}" for x, y in np.cumsum(g.uniform(-2, 3, (n, 2)), axis=0).round(3).tolist()) + ")"
-    cases = [("LINESTRING(0 0,10 3,20 0)", 2.0), *((walk(n), w) for n in (2, 5, 30) for w in (0.3, 2.0)), ("POLYGON((0 0,0 9,9 9,5 4,9 0,0 0),(1 1,2 1,2 2,1 1))", 0.7), ("POLYGON((0 0,0 9,9 9,9 0,0 0))", -1.5), ("MULTIPOINT(0 0,1 1,9 9)", 1.0)]
+    cases = [("LINESTRING(0 0,10 3,20 0)", 2.0), *((walk(n), w) for n in (2, 5, 30, 150) for w in (0.3, 2.0)), ("MULTILINESTRING((0 0,10 0,10 10,0 10,0 0),(5 -3,5 13),(2 2,2 2))", 1.0), ("MULTIPOLYGON(((0 0,4 0,4 4,0 4,0 0)),((5 0,9 0,9 4,5 4,5 0)))", 0.7), ("MULTIPOLYGON(((0 0,4 0,4 4,0 4,0 0)),((5 0,9 0,9 4,5 4,5 0)))", -0.5), (P, -1.0), ("LINESTRING(1000000 1000000,1000000.001 1000000,1000000.001 1000000.002)", 0.0005), ("POLYGON((0 0,0 9,9 9,5 4,9 0,0 0),(1 1,2 1,2 2,1 1))", 0.7), ("POLYGON((0 0,0 9,9 9,9 0,0 0))", -1.5), ("MULTIPOINT(0 0,1 1,9 9)", 1.0)]
     for wkt, width in cases:
         own = reader.read(to_wkt(build.buffer(from_wkt(wkt), width, 8)))
         other = reader.read(wkt).buffer(width, 8)
@@ -282,3 +282,20 @@ def test_extents_of_a_stream(spark, tmp_path):
     query.awaitTermination(120)
     got = {(r.start.hour, r.n, r.xmin, r.ymin, r.xmax, r.ymax) for r in spark.sql("SELECT window.start, n, extent.* FROM stream_extents").collect()}
     assert got == {(0, 2, 1.0, 2.0, 3.0, 4.0), (1, 2, 5.0, 1.0, 7.0, 6.0)}
+
+
+def test_noding_equals_all_pairs():
+    """Segments on a small grid, which share ends and overlap, nearly straight ones, and random floats."""
+    from itertools import pairwise
+
+    from geolith.geo.build import noded
+    from geolith.geo.relate import cut_by
+
+    g = np.random.default_rng(6)
+    near_line = lambda n: [((0.0, 0.0), (float(k + 1), (k + 1) * 0.1 + e)) for k, e in enumerate(g.choice([0.0, 1e-17, -1e-16], n).tolist())]
+    tables = [g.integers(0, 5, (60, 4)).astype(float).tolist(), g.uniform(-1, 1, (60, 4)).tolist(), (g.integers(0, 4, (60, 4)) / 10 + 1e6).tolist()]
+    for edges in [[((a, b), (c, d)) for a, b, c, d in t] for t in tables] + [near_line(30)]:
+        want = set()
+        for e in edges:
+            want.update((min(p, q), max(p, q)) for p, q in pairwise(cut_by(*e, edges)))
+        assert noded(edges) == {(p, q) for p, q in want if p != q}
