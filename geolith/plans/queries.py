@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geolith import functions as G
-from geolith.geo.codec import encode
+from geolith import sources
+from geolith.geo.codec import encode, write_wkb
 from geolith.geo.model import Dialect, Geometry
 from geolith.operators import locate_in_envelope, spatial_join
 from geolith.streaming import windowed_extent
@@ -360,6 +361,21 @@ def dialects(spark, sf_dir):
     return c.select("c_custkey", G.st_as_text("g").alias("wkt"), F.coalesce(G.st_srid("g"), F.lit(1)).alias("srid"))
 
 
+@_query(
+    "SELECT k, CASE k % 5 WHEN 0 THEN 'POINT(' || k || ' 1)' WHEN 1 THEN 'LINESTRING(0 ' || k || ',2 3)' WHEN 2 THEN 'POLYGON((0 0,0 ' || k || ',1 1,0 0))' WHEN 3 THEN 'POINT(' || k || ' 7)' END AS wkt, "
+    "CASE WHEN k % 5 = 3 THEN 2 WHEN k % 5 < 3 THEN k % 3 + 2 END AS tag FROM range(60) AS t(k)"
+)
+def built_from_shapes(spark, sf_dir):
+    """A fixed table: plain coordinates of all three depths in three dialects, payloads that get a tag, and nulls."""
+    rows = []
+    for k in range(60):
+        payload = write_wkb(Geometry(1, ((float(k), 7.0),)), False)
+        made = [(k, 1), [(0, k), (2, 3)], [[(0, 0), (0, k), (1, 1), (0, 0)]], payload, None][k % 5]
+        rows.append((k, sources.encode([made], Dialect.EWKB if k % 5 == 3 else Dialect(k % 3 + 2))[0]))
+    table = spark.createDataFrame(rows, "k long, g binary")
+    return table.select("k", G.st_as_text("g").alias("wkt"), F.expr("ascii(substring(g, 1, 1))").cast("long").alias("tag"))
+
+
 @_query("SELECT 1 AS hit, 15 AS n")
 def bench_intersects(spark, sf_dir):
     """Three times a million lines against a point."""
