@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from geolith import functions as G
 
-#: Bytes up to which a side may be broadcast, by Catalyst's estimate of its size, before it is dealt to cells.
-SMALL = 8 << 20
+#: Bytes up to which a side may be broadcast as it is dealt to cells: the larger of Catalyst's estimate and ROW
+#: bytes for each of its counted rows, times the most copies that a row can have.
+SMALL, ROW = 64 << 20, 256
 #: The level of boxes too wide for any grid.
 TOP = 2000
 
+
 def inside_envelope(box: Column, xmin: float, ymin: float, xmax: float, ymax: float) -> Column:
     """Whether a box lies in the envelope, its border included; false for null boxes."""
     return F.coalesce((box["xmin"] >= xmin) & (box["ymin"] >= ymin) & (box["xmax"] <= xmax) & (box["ymax"] <= ymax), F.lit(False))
@@ -59,8 +61,8 @@ def spatial_pairs(left: DataFrame, right: DataFrame, left_geom: str, right_geom:
     itself, four at most, and in those of each wider level that the other side has;
     a pair is met at the level of its wider box, in the one cell that holds the
     lower corner of what the boxes share. So no box is dealt to many cells, and all
-    is a hash join by cell, with the right side broadcast if it has at most SMALL
-    bytes. The narrowest cells (``cell``; by default such that spread points stand
+    is a hash join by cell, with the right side broadcast if all copies of its rows
+    have at most SMALL bytes. The narrowest cells (``cell``; by default such that spread points stand
     alone) bound how many points share one.
     """
     a = left.withColumn("__a", G.box2d(left_geom)).where("__a IS NOT NULL")
@@ -82,7 +84,8 @@ def spatial_pairs(left: DataFrame, right: DataFrame, left_geom: str, right_geom:
         return df
 
     a, b = side(a, "__a", "__i", levels[1], "__l", "__x", "__y"), side(b, "__b", "__j", levels[0], "__m", "__u", "__v")
-    if _size(right) <= SMALL:
+    copies = 4 * (1 + len(levels[0]))  # four cells at its own level, and at each one of the other side
+    if copies * max(_size(right), ROW * rows[1]) <= SMALL:
         b = F.broadcast(b)
     corner = lambda v: _cell(F.greatest(F.col("__a")[v], F.col("__b")[v]), F.col("__l"))
     own = (corner("xmin") == F.col("__x")) & (corner("ymin") == F.col("__y")) & (F.greatest("__i", "__j") == F.col("__l"))
