@@ -127,6 +127,11 @@ def _each(values: pa.Array, f: Callable[[Geometry], object], kind: pa.DataType)
     return pa.array([None if v is None else f(decode(v)) for v in values.to_pylist()], kind)
 
 
+def _once(f: Callable) -> Callable:
+    """``f`` that works once for the arguments that rows of a batch share; what it holds is no more than the batch and its results."""
+    return lru_cache(None)(f)
+
+
 def as_text(values: pa.Array) -> pa.Array:
     return _each(values, text.to_wkt, pa.string())
 
@@ -262,8 +267,8 @@ def translate(values: pa.Array, dx: pa.Array, dy: pa.Array) -> pa.Array:
 
 
 def split(a: pa.Array, b: pa.Array) -> pa.Array:
-    rows = zip(a.to_pylist(), b.to_pylist())
-    return pa.array([None if v is None or w is None else codec.encode(build.split(decode(v), decode(w))) for v, w in rows], pa.binary())
+    one = _once(lambda v, w: codec.encode(build.split(decode(v), decode(w))))
+    return pa.array([None if v is None or w is None else one(v, w) for v, w in zip(a.to_pylist(), b.to_pylist())], pa.binary())
 
 
 def as_mvt_geom(values: pa.Array, box: pa.Array) -> pa.Array:

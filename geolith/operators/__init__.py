@@ -15,6 +15,8 @@ from geolith import functions as G
 SMALL, ROW = 64 << 20, 256
 #: The level of boxes too wide for any grid.
 TOP = 2000
+#: Bytes of a file for which one more task is worth its start, tasks for each core, and bytes a task of a scan takes.
+CRUMB, PER_CORE, SCAN = 4 << 10, 3, 128 << 20
 
 
 def inside_envelope(box: Column, xmin: float, ymin: float, xmax: float, ymax: float) -> Column:
@@ -36,6 +38,18 @@ def _size(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A stored table with its rows dealt evenly to tasks, some for each core.
+
+    A row group is read by one task, and a file of a few MB can hold a million rows:
+    functions of rows that follow would run in that task alone. Tables that fill all
+    tasks by themselves stay as they are, and those of a few rows.
+    """
+    size, tasks = _size(df), PER_CORE * max(8, df.sparkSession.sparkContext.defaultParallelism)
+    n = min(size // CRUMB, tasks)
+    return df.repartition(n) if n > 1 and size < tasks * SCAN else df
+
+
 def boxes_meet(a: Column, b: Column) -> Column:
     return (a["xmin"] <= b["xmax"]) & (b["xmin"] <= a["xmax"]) & (a["ymin"] <= b["ymax"]) & (b["ymin"] <= a["ymax"])
 
