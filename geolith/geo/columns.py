@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 from geolith.geo import build, codec, relate, text
-from geolith.geo.model import NAMES, Dialect, Geometry, GeometryError
+from geolith.geo.model import COLLECTION, LINESTRING, MULTIPOINT, NAMES, POINT, POLYGON, Dialect, Geometry, GeometryError
 
 MAX = float(np.finfo(np.float64).max)
 BOX = pa.struct([pa.field(n, pa.float64(), False) for n in ("xmin", "ymin", "xmax", "ymax")])
@@ -118,6 +118,22 @@ def _moved(values: pa.Array, move: Callable[[np.ndarray, np.ndarray], np.ndarray
     return pa.array(_rest(values, done, out, lambda k, g: codec.encode(one(k, g))), pa.binary())
 
 
+def _head(kind: int, raw: np.ndarray, at: int, *counts: int) -> np.ndarray:
+    """The bytes before the coordinates of geometries that keep their rows' SRIDs, in the second dialect."""
+    head = np.frombuffer(struct.pack("<BBI", Dialect.EWKB, 1, kind | (0x20000000 if at else 0)), np.uint8)
+    counts = np.frombuffer(struct.pack(f"<{len(counts)}I", *counts), np.uint8)
+    wide = lambda b: np.broadcast_to(b, (len(raw), len(b)))
+    return np.concatenate([wide(head), raw[:, at : at + 4 if at else 0], wide(counts)], axis=1)
+
+
+def _fill(out: list, rows: np.ndarray, head: np.ndarray, xy: np.ndarray) -> None:
+    """Values of heads and coordinates, put into their rows."""
+    xy = np.ascontiguousarray(xy, "<f8").reshape(len(rows), -1).view(np.uint8) if xy.size else np.empty((len(rows), 0), np.uint8)
+    n, data = head.shape[1] + xy.shape[1], np.concatenate([head, xy], axis=1).tobytes()
+    for k, lo in zip(rows.tolist(), range(0, len(data), n)):
+        out[k] = data[lo : lo + n]
+
+
 def box_array(found: np.ndarray) -> pa.Array:
     none = np.isnan(found).any(axis=1)
     return pa.StructArray.from_arrays([pa.array(found[:, k]) for k in range(4)], fields=list(BOX), mask=pa.array(none))
@@ -257,8 +273,20 @@ def _numbers(*args: pa.Array):
 
 
 def buffer(values: pa.Array, width: pa.Array, quadsegs: pa.Array) -> pa.Array:
-    rows = zip(values.to_pylist(), _numbers(width, quadsegs))
-    return pa.array([None if v is None else codec.encode(build.buffer(decode(v), float(w), q)) for v, (w, q) in rows], pa.binary())
+    values, by = _binary(values), list(_numbers(width, quadsegs))
+    out, done = [None] * len(values), np.zeros(len(values), bool)
+    for rows, raw, start, at in _alike(values):
+        xy = _xy(raw, start)
+        if raw[0, 2] != POINT:
+            continue
+        for w, q in {by[k] for k in rows.tolist()}:
+            on = np.array([by[k] == (w, q) for k in rows.tolist()]) & ~np.isnan(xy[:, 0]).any(axis=1)
+            if w > 0 and on.any():
+                ring = np.array(build.circle_of(max(1, int(q))))
+                _fill(out, rows[on], _head(POLYGON, raw[on], at, 1, len(ring) + 1), np.concatenate([r := xy[on] + float(w) * ring, r[:, :1]], axis=1))
+                done[rows[on]] = True
+    one = _once(lambda v, w, q: codec.encode(build.buffer(decode(v), float(w), q)))
+    return pa.array(_rest(values, done, out, lambda k, g: one(values[k].as_py(), *by[k])), pa.binary())
 
 
 def translate(values: pa.Array, dx: pa.Array, dy: pa.Array) -> pa.Array:
