@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from geolith.geo import build, codec, relate, text
 from geolith.geo.model import COLLECTION, LINESTRING, MULTIPOINT, NAMES, POINT, POLYGON, Dialect, Geometry, GeometryError
@@ -191,10 +192,39 @@ def _srids(values: list[int | None] | None, n: int) -> list[int | None]:
     return [int(s) for s in values]
 
 
+#: Texts of one list of plain numbers, which are read at once; all others go to the parser.
+_PAIR = r" ?-?[0-9]{1,17}(?:\.[0-9]{1,17})? -?[0-9]{1,17}(?:\.[0-9]{1,17})? ?"
+_PLAIN = ((POINT, rf"^POINT ?\({_PAIR}\)$"), (LINESTRING, rf"^LINESTRING ?\({_PAIR}(?:,{_PAIR})+\)$"))
+
+
+def _plain(values: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of texts of points and lines in plain numbers: kind, rows, and coordinates of rows of the same length."""
+    for kind, form in _PLAIN:
+        rows = np.flatnonzero(pc.fill_null(pc.match_substring_regex(values, form), False).to_numpy(zero_copy_only=False))
+        if not len(rows):
+            continue
+        body = pc.replace_substring_regex(values.take(pa.array(rows)), r"^[A-Z]+ ?\( ?| ?\)$", "")
+        words = pc.split_pattern(pc.replace_substring_regex(body, " ?, ?", " "), " ")
+        flat, size = words.flatten().cast(pa.float64()).to_numpy(), pc.list_value_length(words).to_numpy()
+        first = np.cumsum(size) - size
+        for n in np.unique(size):
+            on = np.flatnonzero(size == n)
+            yield kind, rows[on], flat[first[on][:, None] + np.arange(n)]
+
+
 def from_text(values: pa.Array, *with_srid: pa.Array) -> pa.Array:
+    values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
     srids = _srids(with_srid[0].to_pylist() if with_srid else None, len(values))
-    parse = lru_cache(1024)(text.from_wkt)
-    return pa.array([None if v is None else codec.encode(parse(v).with_srid(s)) for v, s in zip(values.to_pylist(), srids)], pa.binary())
+    tails = np.array(srids, "<i4").view(np.uint8).reshape(-1, 4) if with_srid else np.empty((len(values), 0), np.uint8)
+    out, done = [None] * len(values), np.zeros(len(values), bool)
+    for kind, rows, xy in _plain(values):
+        head = np.concatenate([np.zeros((len(rows), 6), np.uint8), tails[rows]], axis=1)
+        _fill(out, rows, _head(kind, head, 6 if with_srid else 0, *([] if kind == POINT else [xy.shape[1] // 2])), xy)
+        done[rows] = True
+    one = _once(lambda v, s: codec.encode(text.from_wkt(v).with_srid(s)))
+    for k in np.flatnonzero(~done & values.is_valid().to_numpy(zero_copy_only=False)).tolist():
+        out[k] = one(values[k].as_py(), srids[k])
+    return pa.array(out, pa.binary())
 
 
 def from_wkb(values: pa.Array, *with_srid: pa.Array) -> pa.Array:
@@ -226,9 +256,8 @@ def _decide(a: pa.Array, b: pa.Array, possible: Callable, exact: Callable[[Geome
     p, q = boxes(a), boxes(b)
     with np.errstate(invalid="ignore"):
         todo = np.flatnonzero(possible(p, q))
-    out = np.zeros(len(p), bool)
-    for k in todo.tolist():
-        out[k] = exact(decode(a[k].as_py()), decode(b[k].as_py()))
+    out, one = np.zeros(len(p), bool), _once(lambda v, w: exact(decode(v), decode(w)))
+    out[todo] = [one(v, w) for v, w in zip(a.take(pa.array(todo)).to_pylist(), b.take(pa.array(todo)).to_pylist())]
     null = a.is_null().to_numpy(zero_copy_only=False) | b.is_null().to_numpy(zero_copy_only=False)
     return pa.array(out, mask=null)
 
