@@ -140,25 +140,79 @@ def box_array(found: np.ndarray) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(found[:, k]) for k in range(4)], fields=list(BOX), mask=pa.array(none))
 
 
-def _each(values: pa.Array, f: Callable[[Geometry], object], kind: pa.DataType) -> pa.Array:
-    return pa.array([None if v is None else f(decode(v)) for v in values.to_pylist()], kind)
-
-
 def _once(f: Callable) -> Callable:
     """``f`` that works once for the arguments that rows of a batch share; what it holds is no more than the batch and its results."""
     return lru_cache(None)(f)
 
 
+#: Between, before and after the coordinates of a pair, and around the pairs of a point, line, ring or multiple point.
+_WKT = " ", "", "", {POINT: ("POINT(", ")"), LINESTRING: ("LINESTRING(", ")"), POLYGON: ("POLYGON((", "))"), MULTIPOINT: ("MULTIPOINT(", ")")}
+_JSON = ",", "[", "]", {k: (f'{{"type": "{NAMES[k]}", "coordinates": ' + "[" * n, "]" * n + "}") for k, n in ((POINT, 0), (LINESTRING, 1), (POLYGON, 2), (MULTIPOINT, 1))}
+
+
+def _points_of(values: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Kind, rows, coordinates and SRIDs of rows alike, multiple points too; empty points are left out."""
+    for rows, raw, start, at in _alike(values):
+        xy = _xy(raw, start)
+        full = ~np.isnan(xy).any(axis=(1, 2))
+        yield int(raw[0, 2]), rows[full], xy[full], raw[full][:, at : at + 4].copy().view("<i4")[:, 0] if at else None
+    data, first, size = _layout(values)
+    for n in np.unique(size[size > 30]):
+        for at in (0, 6):
+            start = 10 + 4 * (at > 0)
+            if (n - start) % 21:
+                continue
+            rows = np.flatnonzero(size == n)
+            head = data[first[rows][:, None] + np.arange(start)]
+            rows = rows[((head[:, 0] == 1) | (head[:, 0] == 2)) & (head[:, 1:6] == [1, MULTIPOINT, 0, 0, 0x20 if at else 0]).all(axis=1)]
+            for lo in range(0, len(rows), 1 << 16):
+                on = rows[lo : lo + (1 << 16)]
+                raw = data[first[on][:, None] + np.arange(n)]
+                parts = raw[:, start:].reshape(len(on), -1, 21)
+                xy = parts[:, :, 5:].copy().view("<f8")
+                good = (parts[:, :, :5] == [1, POINT, 0, 0, 0]).all(axis=(1, 2)) & ~np.isnan(xy).any(axis=(1, 2))
+                good &= raw[:, start - 4 : start].copy().view("<u4")[:, 0] == parts.shape[1]
+                yield MULTIPOINT, on[good], xy[good], raw[good][:, 6:10].copy().view("<i4")[:, 0] if at else None
+
+
+def _digits(x: np.ndarray) -> pa.Array:
+    """The texts of numbers; whole ones of up to 15 digits at once."""
+    with np.errstate(invalid="ignore"):
+        whole = (np.abs(x) < 1e15) & (x == np.rint(x)) & ~((x == 0) & np.signbit(x))
+    found = pa.array(np.where(whole, x, 0).astype(np.int64)).cast(pa.string())
+    return found if whole.all() else pc.replace_with_mask(found, pa.array(~whole), pa.array([text.number(v) for v in x[~whole].tolist()], pa.string()))
+
+
+def _texts(values: pa.Array, form: tuple, one: Callable[[Geometry], str], with_srid: bool = False) -> pa.Array:
+    values = _binary(values)
+    between, opened, closed, around = form
+    out, done = np.full(len(values), None, object), np.zeros(len(values), bool)
+    for kind, rows, xy, srids in _points_of(values):
+        n = xy.shape[1]
+        if not len(rows) or n > 64:  # a list of columns for each point
+            continue
+        digits = _digits(xy.transpose(1, 2, 0).ravel())
+        column = lambda k: digits.slice(k * len(rows), len(rows))
+        pieces = [pa.array(srids).cast(pa.string())] if with_srid and srids is not None else []
+        pieces = ["SRID=", *pieces, ";"] if pieces else []
+        pieces.append(around[kind][0])
+        for k in range(n):
+            pieces += [opened if k == 0 else "," + opened, column(2 * k), between, column(2 * k + 1), closed]
+        out[rows] = pc.binary_join_element_wise(*pieces, around[kind][1], "").to_numpy(zero_copy_only=False)
+        done[rows] = True
+    return pa.array(_rest(values, done, out, lambda k, g: one(g)), pa.string())
+
+
 def as_text(values: pa.Array) -> pa.Array:
-    return _each(values, text.to_wkt, pa.string())
+    return _texts(values, _WKT, text.to_wkt)
 
 
 def as_ewkt(values: pa.Array) -> pa.Array:
-    return _each(values, text.to_ewkt, pa.string())
+    return _texts(values, _WKT, text.to_ewkt, True)
 
 
 def as_geojson(values: pa.Array) -> pa.Array:
-    return _each(values, text.to_geojson, pa.string())
+    return _texts(values, _JSON, text.to_geojson)
 
 
 def geometry_type(values: pa.Array) -> pa.Array:
@@ -286,12 +340,24 @@ def equals(a: pa.Array, b: pa.Array) -> pa.Array:
     return _decide(a, b, lambda p, q: (p == q).all(axis=1), relate.equals)
 
 
-def _shaped(values: pa.Array, f: Callable[[Geometry], Geometry]) -> pa.Array:
-    return _each(values, lambda g: codec.encode(f(g)), pa.binary())
-
-
 def boundary(values: pa.Array) -> pa.Array:
-    return _shaped(values, build.boundary)
+    """Of rows alike at once: the ends of lines, the rings of areas, nothing of points."""
+    values = _binary(values)
+    out, done = [None] * len(values), np.zeros(len(values), bool)
+    for rows, raw, start, at in _alike(values):
+        xy, kind = _xy(raw, start), int(raw[0, 2])
+        if kind == POINT:
+            _fill(out, rows, _head(COLLECTION, raw, at, 0), xy[:, :0])
+        elif kind == POLYGON:
+            _fill(out, rows, _head(LINESTRING, raw, at, xy.shape[1]), xy)
+        else:
+            ring = (xy[:, 0] == xy[:, -1]).all(axis=1)
+            _fill(out, rows[ring], _head(MULTIPOINT, raw[ring], at, 0), xy[ring, :0])
+            point = np.broadcast_to(np.frombuffer(struct.pack("<BI", 1, POINT), np.uint8), (np.count_nonzero(~ring), 5))
+            first, last = (np.ascontiguousarray(xy[~ring, k]).view(np.uint8) for k in (0, -1))
+            _fill(out, rows[~ring], np.concatenate([_head(MULTIPOINT, raw[~ring], at, 2), point, first, point, last], axis=1), xy[~ring, :0])
+        done[rows] = True
+    return pa.array(_rest(values, done, out, lambda k, g: codec.encode(build.boundary(g))), pa.binary())
 
 
 def _numbers(*args: pa.Array):
